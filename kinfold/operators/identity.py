@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinfold import schemas as V
 from kinfold.operators.components import connected_components
 from kinfold.operators.order import ORDERED_GROUP_ROWS, running_total
 from kinfold.session import cut
@@ -47,31 +46,59 @@ def identity_edges(carriers: DataFrame, threshold: Column) -> DataFrame:
 
     A record within the threshold matches every guest that holds the identifier. It is enough
     to join each carrier to the next matching one: what came before is already one guest. The
-    groups are bounded by the threshold, so the windows are too.
+    groups are bounded by the threshold, so the windows are too. ``node`` names a carrier: its
+    own number, or the guest it belongs to if an earlier batch linked it (``settled``).
     """
+    carriers = _as_nodes(carriers)
     group = Window.partitionBy(*IDENTIFIER)
     after = group.orderBy("record_no").rowsBetween(1, Window.unboundedFollowing)
-    kept = F.when(F.col("sharing") <= threshold, F.col("record_no"))
+    kept = F.when(~F.col("settled") & (F.col("sharing") <= threshold), F.col("record_no"))
     return (
         carriers.withColumn("later", F.min(kept).over(after))
-        .withColumn("first", F.min("record_no").over(group))
+        .withColumn("first", F.min_by("node", "record_no").over(group))
         .filter("later is not null")
-        .select(*IDENTIFIER, "later", F.col("record_no").alias("earlier"), "first")
+        .select(*IDENTIFIER, "rank", "later", F.col("node").alias("earlier"), "first")
     )
 
 
-def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tenant_id, record_no, guest_no): every record linked exactly once."""
-    pairs = edges.select(F.col("later").alias("a"), F.col("first").alias("b")).unionByName(
+def all_earlier_carriers(carriers: DataFrame, threshold: Column) -> DataFrame:
+    """(record_no, earlier) for every earlier carrier of a matching record's identifiers.
+
+    Only for identifiers whose carriers may have been kept apart; threshold-bounded groups.
+    """
+    later = carriers.filter(~F.col("settled") & (F.col("sharing") <= threshold))
+    earlier = carriers.select(*IDENTIFIER, F.col("record_no").alias("earlier"))
+    return later.join(earlier, IDENTIFIER).filter("earlier < record_no")
+
+
+def _as_nodes(carriers: DataFrame) -> DataFrame:
+    if "settled" in carriers.columns:
+        return carriers
+    return carriers.withColumns({"node": F.col("record_no"), "settled": F.lit(False)})
+
+
+def identity_pairs(edges: DataFrame) -> DataFrame:
+    """The undirected graph whose components are the guests."""
+    return edges.select(F.col("later").alias("a"), F.col("first").alias("b")).unionByName(
         edges.select(F.col("earlier").alias("a"), F.col("first").alias("b"))
     )
-    roots = connected_components(pairs).withColumnRenamed("node", "record_no")
+
+
+def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tenant_id, record_no, guest_no): every record linked exactly once."""
+    roots = connected_components(identity_pairs(edges)).withColumnRenamed("node", "record_no")
     return (
         records.select("tenant_id", "record_no").join(roots, "record_no", "left")
         .select("tenant_id", "record_no", F.coalesce("root", "record_no").alias("guest_no"))
     )
 
 
+def homes(edges: DataFrame) -> DataFrame:
+    """(record_no, founder): the guest of a record's earliest neighbour, before any merge."""
+    parents = edges.groupBy(F.col("later").alias("child")).agg(F.min("first").alias("parent"))
+    return _roots(parents).select(F.col("child").alias("record_no"), F.col("root").alias("founder"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow (child, parent) pointers to the top by doubling."""
     current = cut(parents)
@@ -88,7 +115,7 @@ def _roots(parents: DataFrame) -> DataFrame:
         current = jumped.drop("moved")
 
 
-def absorptions(edges: DataFrame) -> DataFrame:
+def absorptions(edges: DataFrame, home: DataFrame | None = None) -> DataFrame:
     """(absorbed, at, survivor): which guest took over which, and by which record.
 
     Every matching record first joins the guest of its earliest neighbour. What remains are
@@ -96,14 +123,13 @@ def absorptions(edges: DataFrame) -> DataFrame:
     that comes first for all guests it touches; its outcome cannot depend on any other.
     """
     spark = edges.sparkSession
-    parents = edges.groupBy(F.col("later").alias("child")).agg(F.min("first").alias("parent"))
-    home = cut(_roots(parents))
-    homes = home.withColumnRenamed("child", "record").withColumnRenamed("root", "guest")
+    home = home if home is not None else cut(homes(edges))
+    mine = home.select(F.col("record_no").alias("record"), F.col("founder").alias("guest"))
     touched = edges.select(F.col("later").alias("at"), F.col("earlier").alias("record"))
     touched = (
-        touched.join(homes, "record", "left")
+        touched.join(mine, "record", "left")
         .select("at", F.coalesce("guest", "record").alias("guest"))
-        .unionByName(homes.select(F.col("record").alias("at"), "guest"))
+        .unionByName(mine.select(F.col("record").alias("at"), "guest"))
         .distinct()
     )
     pending = cut(_several(touched))
@@ -162,12 +188,8 @@ def guest_spans(founders: DataFrame, absorbed: DataFrame) -> DataFrame:
             return spans
 
 
-def resolution_events(
-    records: DataFrame, edges: DataFrame, absorbed: DataFrame
-) -> DataFrame:
+def placements(records: DataFrame, home: DataFrame, absorbed: DataFrame) -> DataFrame:
     """One CREATE, ATTACH or MERGE per record, with the guest it led to at that moment."""
-    parents = edges.groupBy(F.col("later").alias("child")).agg(F.min("first").alias("parent"))
-    home = _roots(parents).select(F.col("child").alias("record_no"), F.col("root").alias("founder"))
     spans = guest_spans(home.select(F.col("founder").alias("guest_no")).distinct(), absorbed)
     placed = (
         records.select("tenant_id", "record_no").join(home, "record_no", "left")
@@ -185,14 +207,4 @@ def resolution_events(
         .otherwise("ATTACH").alias("kind"),
         F.coalesce("guest", "record_no").alias("guest_no"),
         F.coalesce("absorbed_guests", F.array().cast("array<bigint>")).alias("absorbed_guests"),
-        F.when(F.col("founder").isNull(), V.CREATE_MATCHER)
-        .otherwise(V.DETERMINISTIC_MATCHER).alias("matcher"),
-        F.lit("1.000").cast("decimal(4,3)").alias("confidence"),
     )
-
-
-def match_evidence(edges: DataFrame) -> DataFrame:
-    """(record_no, type, value): identifiers through which a record matched."""
-    return edges.select(
-        "tenant_id", F.col("later").alias("record_no"), "type", "value"
-    ).distinct()
