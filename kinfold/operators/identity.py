@@ -57,7 +57,7 @@ def identity_edges(carriers: DataFrame, threshold: Column) -> DataFrame:
         carriers.withColumn("later", F.min(kept).over(after))
         .withColumn("first", F.min_by("node", "record_no").over(group))
         .filter("later is not null")
-        .select(*IDENTIFIER, "rank", "later", F.col("node").alias("earlier"), "first")
+        .select(*IDENTIFIER, "later", F.col("node").alias("earlier"), "first", *_optional(carriers))
     )
 
 
@@ -71,6 +71,10 @@ def all_earlier_carriers(carriers: DataFrame, threshold: Column) -> DataFrame:
     return later.join(earlier, IDENTIFIER).filter("earlier < record_no")
 
 
+def _optional(carriers: DataFrame) -> list[str]:
+    return [c for c in ("rank", "gated") if c in carriers.columns]
+
+
 def _as_nodes(carriers: DataFrame) -> DataFrame:
     if "settled" in carriers.columns:
         return carriers
