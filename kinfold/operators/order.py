@@ -10,13 +10,16 @@ from kinfold.session import cut
 ORDERED_GROUP_ROWS = 1_000_000
 
 
-def number_records(records: DataFrame, *order: str, name: str = "record_no") -> DataFrame:
+def number_records(
+    records: DataFrame, *order: str, name: str = "record_no", start: int = 0
+) -> DataFrame:
     """Give every record a number that increases in arrival order (gaps are allowed).
 
     The numbers come from a global range sort, so the result is cut from its lineage:
-    they must not be drawn twice.
+    they must not be drawn twice. ``start`` lies above every number given before.
     """
-    return cut(records.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    number = F.monotonically_increasing_id() + F.lit(start)
+    return cut(records.orderBy(*order).withColumn(name, number))
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

@@ -28,12 +28,12 @@ def rows(tenant, records, start=0):
     return made
 
 
-def frame(spark, made, config=None, rules=None):
+def frame(spark, made, config=None, rules=None, start=0):
     from kinfold.operators.rules import masked_domains
 
     df = spark.createDataFrame(made, SCHEMA)
     domains = masked_domains(rules) if rules is not None else None
-    df = number_records(extract(df, domains), "received_at", "external_key")
+    df = number_records(extract(df, domains), "received_at", "external_key", start=start)
     return prepare(df, config)
 
 
