@@ -15,7 +15,7 @@ DATA = Path("/root/testdata")
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("kinfold-tests", cpus=int(os.environ.get("TEST_CPUS", "8")), memory="8g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
