@@ -30,7 +30,9 @@ def _people(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
-    return number_records(prepare(_people(spark, folder)), "record_timestamp", "ord")
+    """The feed in arrival order; extraction follows, so each reader computes what it uses."""
+    feed = person_feed(configure(spark), folder)
+    return prepare(extract(number_records(feed, "record_timestamp", "ord")))
 
 
 def _ids(records: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def _customers(spark, folder, **fields):
         F.lit("2026-01-01").cast("timestamp").alias("record_timestamp"),
         *[value.alias(name) for name, value in fields.items()],
     )
-    return number_records(prepare(extract(with_optional_columns(df))), "record_timestamp", "c_custkey")
+    return prepare(extract(number_records(with_optional_columns(df), "record_timestamp", "c_custkey")))
 
 
 def _customer_guests(records, links):

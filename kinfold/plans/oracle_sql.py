@@ -68,6 +68,8 @@ best AS (
   SELECT tenant_id, founder, field, value, masked FROM fields WHERE trim(value) <> ''
   QUALIFY row_number() OVER (PARTITION BY tenant_id, founder, field ORDER BY masked, record_timestamp DESC, no DESC) = 1)"""
 
+# The name similarity is spelt out: half a transposition counts as a half, where the built-in
+# function of the engine that runs this text rounds it away.
 LOOKS = """
 facts AS (
   SELECT *, lower(strip_accents(trim(firstName))) AS f, lower(strip_accents(trim(lastName))) AS l,
@@ -95,13 +97,40 @@ met AS (
     AND NOT coalesce(a.real_norm = b.real_norm, false) AND NOT coalesce(a.phone_norm = b.phone_norm, false)
     AND NOT coalesce(a.loyaltyId = b.loyaltyId, false)
   GROUP BY 1, 2),
-signals AS (
+compared AS (
   SELECT a.tenant_id, a.low_ord AS look_ord, b.low_ord AS holder_ord, rank, rank = 4 AS alias,
-    greatest(jaro_winkler_similarity(concat(a.f, ' ', a.l), concat(b.f, ' ', b.l)),
-             jaro_winkler_similarity(concat(a.f, ' ', a.l), concat(b.l, ' ', b.f))) AS name,
-    CAST(a.birthdate = b.birthdate AS int) AS birth, CAST(a.p7 = b.p7 AS int) AS phone,
-    CASE WHEN a.mail IS NOT NULL AND b.mail IS NOT NULL THEN jaro_winkler_similarity(a.mail, b.mail) END AS mail
+    concat(a.f, ' ', a.l) AS mine, concat(b.f, ' ', b.l) AS theirs, concat(b.l, ' ', b.f) AS swapped,
+    a.mail AS my_mail, b.mail AS their_mail,
+    CAST(a.birthdate = b.birthdate AS int) AS birth, CAST(a.p7 = b.p7 AS int) AS phone
   FROM met JOIN looks a ON a.look = met.a JOIN looks b ON b.look = met.b),
+texts AS (
+  SELECT mine AS a, theirs AS b FROM compared UNION SELECT mine, swapped FROM compared
+  UNION SELECT my_mail, their_mail FROM compared WHERE my_mail IS NOT NULL AND their_mail IS NOT NULL),
+oriented AS (
+  SELECT a, b, CASE WHEN len(a) > len(b) THEN b ELSE a END AS s, CASE WHEN len(a) > len(b) THEN a ELSE b END AS t FROM texts),
+walk(a, b, s, t, w, i, used, got) AS (
+  SELECT a, b, s, t, greatest(len(t) // 2 - 1, 0), 0, CAST([] AS bigint[]), '' FROM oriented
+  UNION ALL
+  SELECT a, b, s, t, w, i + 1, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END,
+    CASE WHEN hit IS NULL THEN got ELSE got || substr(s, i + 1, 1) END
+  FROM (SELECT *, list_filter(generate_series(greatest(i + 1 - w, 1), least(i + 1 + w, len(t))),
+          lambda x: substr(t, x, 1) = substr(s, i + 1, 1) AND NOT list_contains(used, x))[1] AS hit
+        FROM walk WHERE i < len(s))),
+counted AS (
+  SELECT a, b, s, t, CAST(len(used) AS double) AS m, got,
+    array_to_string(list_transform(list_sort(used), lambda x: substr(t, x, 1)), '') AS other
+  FROM walk WHERE i = len(s)),
+jaro AS (
+  SELECT a, b, s, t, CASE WHEN m = 0 THEN 0 ELSE
+    (m / len(s) + m / len(t) + (m - len(list_filter(generate_series(1, len(got)), lambda x: substr(got, x, 1) <> substr(other, x, 1))) / 2.0::double) / m) / 3 END AS j,
+    CASE WHEN left(s, 1) <> left(t, 1) THEN 0 WHEN left(s, 2) <> left(t, 2) OR len(s) < 2 THEN 1
+      WHEN left(s, 3) <> left(t, 3) OR len(s) < 3 THEN 2 WHEN left(s, 4) <> left(t, 4) OR len(s) < 4 THEN 3 ELSE 4 END AS prefix
+  FROM counted),
+similar_texts AS (SELECT a, b, CASE WHEN j < 0.7 THEN j ELSE j + 0.1::double * prefix * (1 - j) END AS sim FROM jaro),
+signals AS (
+  SELECT c.*, greatest(x.sim, y.sim) AS name, z.sim AS mail
+  FROM compared c JOIN similar_texts x ON x.a = mine AND x.b = theirs JOIN similar_texts y ON y.a = mine AND y.b = swapped
+  LEFT JOIN similar_texts z ON z.a = my_mail AND z.b = their_mail),
 weighed AS (
   SELECT *, 0.45::double + CASE WHEN birth IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 0.15 ELSE 0 END
       + CASE WHEN mail IS NOT NULL THEN 0.10 ELSE 0 END AS weight,
@@ -205,9 +234,9 @@ QUERIES = {
       UNION ALL SELECT tenant_id, ord, 'PHONE_SUFFIX7', right(phone_norm, 7) FROM people WHERE phone_norm IS NOT NULL
       UNION ALL SELECT tenant_id, ord, 'EMAIL_LOCALPART', split_part(email_norm, '@', 1) FROM people WHERE email_norm IS NOT NULL AND NOT masked
       UNION ALL SELECT tenant_id, ord, 'EMAIL_MASKED', email_norm FROM people WHERE masked""",
-    "fuzzy_scores": _with(PEOPLE, LOOKS) + """
+    "fuzzy_scores": _with(PEOPLE, LOOKS, recursive=True) + """
       SELECT tenant_id, look_ord, holder_ord, rank, score FROM scored WHERE score >= 0.75""",
-    "fuzzy_bands": _with(PEOPLE, LOOKS) + """
+    "fuzzy_bands": _with(PEOPLE, LOOKS, recursive=True) + """
       SELECT tenant_id, CASE WHEN score >= 0.9 AND rank < 4 THEN 'AUTO_MERGE' ELSE 'REVIEW' END AS band,
         count(*) AS pairs, min(score) AS lowest, max(score) AS highest
       FROM scored WHERE score >= 0.8 GROUP BY ALL""",

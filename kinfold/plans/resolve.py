@@ -197,7 +197,7 @@ def resolve(
         )
         vetoes = reviews.veto_reviews(outcomes)
     placed, absorbed = cut(placed), cut(absorbed)
-    moved = cut(_final_guests(absorbed))
+    moved = cut(final_guests(absorbed))
     links = placed.select("tenant_id", "record_no", "guest_no")
     if state is not None:
         links = links.unionByName(state.links.select("tenant_id", "record_no", "guest_no"))
@@ -210,7 +210,7 @@ def resolve(
     return Resolution(records, known, links, placed, absorbed, moved, vetoes, edges)
 
 
-def _final_guests(absorbed: DataFrame) -> DataFrame:
+def final_guests(absorbed: DataFrame) -> DataFrame:
     """(guest_no, survivor): absorbed guests and the guest that lives on in the end."""
     pointers = absorbed.select(F.col("absorbed").alias("child"), F.col("survivor").alias("parent"))
     return identity._roots(pointers).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ def build_session(app: str = "kinfold", cpus: int = 8, memory: str = "16g") -> S
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -58,9 +60,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Truncate lineage through a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Truncate lineage: write the rows to the shared folder and go on from there.
+
+    A written table survives executors as a checkpoint does, and unlike one it is read by
+    column and carries the sizes from which joins are planned.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/kinfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
