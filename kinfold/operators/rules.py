@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold import schemas as V
 from kinfold.functions import text as X
@@ -18,11 +18,13 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def builtin_rules(spark: SparkSession) -> DataFrame:
-    rows = [(domain, n) for n, domain in enumerate(V.RELAY_DOMAINS)]
-    return spark.createDataFrame(rows, "value string, place int").select(
-        F.lit("EMAIL").alias("identifier_type"), F.lit("EMAIL_DOMAIN").alias("match_kind"),
-        "value", F.lit("MASKED_ALIAS").alias("effect"), "place",
+def builtin_rules() -> Column:
+    """The shipped rules as an array of (value, place)."""
+    return F.array(
+        *[
+            F.struct(F.lit(domain).alias("value"), F.lit(n).alias("place"))
+            for n, domain in enumerate(V.RELAY_DOMAINS)
+        ]
     )
 
 
@@ -33,14 +35,15 @@ def rule_list(rules: DataFrame, tenants: DataFrame) -> DataFrame:
         F.lit(False).alias("builtin"),
         F.struct(F.lit(1).alias("own"), F.lit(0).alias("place"), "created_at", "rule_id").alias("priority"),
     )
-    shipped = tenants.select("tenant_id").distinct().join(
-        F.broadcast(builtin_rules(rules.sparkSession))
+    shipped = tenants.select("tenant_id").distinct().select(
+        "tenant_id", F.explode(builtin_rules()).alias("r")
     )
     shipped = shipped.select(
-        "tenant_id", F.lit(None).cast("string").alias("rule_id"), "identifier_type", "match_kind",
-        "value", "effect", F.lit(True).alias("builtin"),
+        "tenant_id", F.lit(None).cast("string").alias("rule_id"),
+        F.lit("EMAIL").alias("identifier_type"), F.lit("EMAIL_DOMAIN").alias("match_kind"),
+        "r.value", F.lit("MASKED_ALIAS").alias("effect"), F.lit(True).alias("builtin"),
         F.struct(
-            F.lit(0).alias("own"), F.col("place"),
+            F.lit(0).alias("own"), F.col("r.place"),
             F.lit(None).cast("timestamp").alias("created_at"),
             F.lit(None).cast("string").alias("rule_id"),
         ).alias("priority"),

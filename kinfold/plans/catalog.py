@@ -185,6 +185,33 @@ def review_cases(spark, folder):
     )
 
 
+def _evidence(spark, folder):
+    records = _numbered(spark, folder)
+    result = resolve(records)
+    carriers = identity.first_carriers(result.identifiers, THRESHOLD)
+    held = cut(reviews.holdings(result.identifiers, result.placed, result.absorbed))
+    return records, result, reviews.match_evidence(carriers, held, result.placed, F.lit(THRESHOLD))
+
+
+def match_evidence(spark, folder):
+    """Through which identifiers every order matched, and how many records shared them then."""
+    records, _, rows = _evidence(spark, folder)
+    named = rows.join(records.select("record_no", "ord"), "record_no")
+    return named.select("tenant_id", "ord", "type", "value", "sharing", "reason")
+
+
+def decision_log(spark, folder):
+    """Every decision with its matcher, confidence and number of matching identifiers."""
+    records, result, rows = _evidence(spark, folder)
+    log = reviews.decision_events(result.placed, rows)
+    named = log.join(records.select("record_no", "ord"), "record_no")
+    named = named.withColumn("absorbed", F.size("absorbed_guests"))
+    return _founder(named, records).select(
+        "tenant_id", "ord", "kind", "founder", "absorbed", "matcher", "confidence", "matches",
+        "actor_type", "actor_id",
+    )
+
+
 def _customers(spark, folder, **fields):
     key = F.col("c_custkey")
     df = table(configure(spark), folder, "customer").select(
@@ -519,7 +546,7 @@ QUERIES = {
         identifiers_extracted, needs_review_reasons, observation_dedup, block_keys,
         block_keys_phonetic, document_contacts, ingest_outcomes, object_identity_reasons,
         identifier_sharing, over_threshold_carriers, founding_records, identifier_effects,
-        silenced_identifiers, guest_clusters, resolution_events, review_cases, perfect_match_gate,
+        silenced_identifiers, guest_clusters, resolution_events, review_cases, match_evidence, decision_log, perfect_match_gate,
         do_not_merge_gate, golden_profile, golden_email_masked_guard, guest_profiles,
         guest_identifiers, guest_view, guest_lookup, records_of_guest, fuzzy_scores, fuzzy_bands,
         fuzzy_reviews, rule_spanning_pairs, review_page, review_counts, rule_page, rule_counts,

@@ -194,6 +194,8 @@ QUERIES = {
       SELECT tenant_id, ord, type, value, sharing,
         concat('identifier shared by ', cast(sharing AS varchar(20)), ' records (threshold 10)') AS reason
       FROM ranked WHERE sharing > 10""",
+    "match_evidence": _with(PEOPLE, RANKED) + """
+      SELECT tenant_id, ord, type, value, sharing, 'exact identifier match' AS reason FROM ranked WHERE sharing BETWEEN 2 AND 10""",
     "founding_records": _with(PEOPLE, RANKED) + """
       SELECT tenant_id, ord FROM people p WHERE NOT EXISTS (
         SELECT 1 FROM ranked r WHERE r.no = p.no AND r.sharing BETWEEN 2 AND 10)""",
