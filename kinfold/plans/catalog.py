@@ -30,9 +30,9 @@ def _people(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
-    """The feed in arrival order; extraction follows, so each reader computes what it uses."""
+    """The record table: the feed numbered in arrival order, then extracted once."""
     feed = person_feed(configure(spark), folder)
-    return prepare(extract(number_records(feed, "record_timestamp", "ord")))
+    return cut(prepare(extract(number_records(feed, "record_timestamp", "ord"))))
 
 
 def _ids(records: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _customers(spark, folder, **fields):
         F.lit("2026-01-01").cast("timestamp").alias("record_timestamp"),
         *[value.alias(name) for name, value in fields.items()],
     )
-    return prepare(extract(number_records(with_optional_columns(df), "record_timestamp", "c_custkey")))
+    return cut(prepare(extract(number_records(with_optional_columns(df), "record_timestamp", "c_custkey"))))
 
 
 def _customer_guests(records, links):
