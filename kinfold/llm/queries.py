@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import packing, token_counts
+from kinfold.llm import mixing, packing, quality, token_counts
 from kinfold.llm.tables import documents
+from kinfold.session import cut
 
 OVER_LIMIT_TOKENS = 4096
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = cut(documents(spark, folder).select("doc_id", "source", mixing.word_count().alias("size")))
+    return mixing.assign(docs, size=F.col("size")).select(
+        "doc_id",
+        "size",
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("size") * F.col("_copies")).alias("taken"),
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, folder))
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -28,9 +40,98 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op2_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+         coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) AS n
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, 3 * source_size AS bound,
+         CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight
+  FROM s
+), o AS (
+  SELECT *, sum(bound) OVER r::BIGINT AS full_, sum(weight) OVER r::BIGINT AS used
+  FROM w WINDOW r AS (ORDER BY bound / weight, n ROWS UNBOUNDED PRECEDING)
+), l AS (
+  SELECT max(((SELECT sum(source_size) FROM s)::BIGINT - (full_ - bound))
+             / ((SELECT sum(weight) FROM w)::BIGINT - (used - weight))) AS level
+  FROM o
+), t AS (
+  SELECT source, source_size, least(bound::DOUBLE, level * weight) AS target FROM o, l
+), p AS (
+  SELECT d.*, source_size, target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size
+                         ROWS UNBOUNDED PRECEDING)::BIGINT - size / 2.0::DOUBLE AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * CASE WHEN source_size > 0
+               THEN greatest(ceil((target - place) / source_size), 0) ELSE 0 END)::BIGINT AS taken
+FROM p
+""",
+    "op9_quality_rules": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_, doc_id, lang, source, coalesce(text, '') AS text,
+         {_WORDS} AS words
+  FROM documents
+), g AS (
+  SELECT row_, unnest(range(1, len(words) - 3)) AS i, words FROM d WHERE len(words) >= 5
+), h AS (
+  SELECT row_, i, count(*) OVER (PARTITION BY row_, list_aggregate(words[i : i + 4], 'string_agg', ' ')) AS c
+  FROM g
+), r AS (
+  SELECT row_, count(DISTINCT j)::BIGINT AS n_repeat_words
+  FROM (SELECT row_, unnest(range(i, i + 5)) AS j FROM h WHERE c > 1) GROUP BY row_
+), m AS (
+  SELECT d.row_, doc_id, lang, source, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r ON d.row_ = r.row_
+), b AS (
+  SELECT *, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM m
+), x AS (
+  SELECT *, n_symbols / greatest(word_chars, 1) AS s1, n_dup_lines / greatest(n_lines, 1) AS s2,
+         n_repeat_words / greatest(n_words, 1) AS s3, word_chars / greatest(n_words, 1) AS s4
+  FROM b
+), q AS (
+  SELECT lang, source,
+         quantile_disc(s1, 0.25) AS a1, quantile_disc(s1, 0.75) AS z1,
+         quantile_disc(s2, 0.25) AS a2, quantile_disc(s2, 0.75) AS z2,
+         quantile_disc(s3, 0.25) AS a3, quantile_disc(s3, 0.75) AS z3,
+         quantile_disc(s4, 0.25) AS a4, quantile_disc(s4, 0.75) AS z4
+  FROM x WHERE NOT base_failed GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(
+         s1 <= z1 + 3 * greatest(z1 - a1, 0.05::DOUBLE) AND s2 <= z2 + 3 * greatest(z2 - a2, 0.1::DOUBLE)
+         AND s3 <= z3 + 3 * greatest(z3 - a3, 0.05::DOUBLE)
+         AND s4 BETWEEN a4 - 3 * greatest(z4 - a4, 1::DOUBLE) AND z4 + 3 * greatest(z4 - a4, 1::DOUBLE), false) AS kept
+FROM x LEFT JOIN q ON x.lang IS NOT DISTINCT FROM q.lang AND x.source IS NOT DISTINCT FROM q.source
+""",
+}
