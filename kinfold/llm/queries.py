@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import mixing, packing, quality, token_counts
+from kinfold.llm import langid, mixing, packing, quality, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
@@ -40,6 +40,14 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    network = langid.fit(docs.filter(langid.fold() != 2))
+    return langid.predict(docs.select("doc_id", "text"), network).select(
+        "doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -51,6 +59,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
