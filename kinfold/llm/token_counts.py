@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD_MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 # Words a worker remembers; beyond it the memory is emptied and filled anew (speed only).
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_000_000
 _CHUNK = re.compile(f"{WORD_MARK}+[^{WORD_MARK}]*")
 _workers: dict[str, "PrefixCounter"] = {}
 
@@ -56,7 +56,8 @@ class PrefixCounter:
         self.pieces = {p.piece for p in ordinary}
         self.beginnings = {p.piece[:n] for p in ordinary for n in range(1, len(p.piece) + 1)}
         self.may_follow: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        # Counts by the word without its first mark; bytes where they fit, to save memory.
+        self.words: dict[str, bytes | list[int]] = {}
         self.checked_by_library = 0
 
     def _follows(self, left: str, right: str) -> bool:
@@ -99,43 +100,44 @@ class PrefixCounter:
         return counts[1:] if counts[n] else None
 
     def learn(self, words: list[str]) -> None:
-        """Run the program for new words (each begins with a word mark)."""
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
+        """Run the program for new words (each without its first mark)."""
         if len(self.may_follow) > 4 * REMEMBERED_WORDS:
             self.may_follow.clear()
-        exact = [len(ids) for ids in self.plain.encode(words, num_threads=1)]
-        for word, total in zip(words, exact, strict=True):
-            counts = self._program(word)
+        marked = [WORD_MARK + word for word in words]
+        exact = [len(ids) for ids in self.plain.encode(marked, num_threads=1)]
+        for word, whole, total in zip(words, marked, exact, strict=True):
+            counts = self._program(whole)
             if counts is None or counts[-1] != total:
                 self.checked_by_library += 1
-                counts = [len(self.plain.encode(word[:end])) for end in range(1, len(word) + 1)]
-            self.words[word] = np.array(counts, np.uint8 if max(counts) < 256 else np.int32)
+                counts = [len(self.plain.encode(whole[:end])) for end in range(1, len(whole) + 1)]
+            self.words[word] = bytes(counts) if max(counts) < 256 else counts
 
     @staticmethod
     def split(text: str) -> list[str]:
-        """The words of a text with their marks; together they spell the marked text."""
+        """The words of a text, each without its first mark; in all they spell the marked text."""
         if "  " in text or WORD_MARK in text or text.startswith(" "):
-            return _CHUNK.findall(WORD_MARK + text.replace(" ", WORD_MARK))
-        return [WORD_MARK + word for word in text.split(" ")]
+            marked = WORD_MARK + text.replace(" ", WORD_MARK)
+            return [chunk[1:] for chunk in _CHUNK.findall(marked)]
+        return text.split(" ")
 
     def prepare(self, texts: list[list[str]]) -> None:
-        known = self.words
-        new = list({word: None for words in texts for word in words if word not in known})
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
-            new = list({word: None for words in texts for word in words})
+        needed = set().union(*texts)
+        new = needed.difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED_WORDS:
+            self.words.clear()
+            new = needed
         if new:
-            self.learn(new)
+            self.learn(list(new))
 
     def prefixes(self, text: str, words: list[str]) -> np.ndarray:
         """counts[i] for text[:i]; counts[0] is 0."""
         counts = np.zeros(len(text) + 1, np.int32)
         at, base = -1, 0
         for word in words:
-            own = self.words[word]
+            kept = self.words[word]
+            own = np.array(kept if isinstance(kept, list) else np.frombuffer(kept, np.uint8), np.int32)
             begin = max(at + 1, 0)
-            counts[begin : at + 1 + len(own)] = own[begin - at - 1 :] + np.int32(base)
+            counts[begin : at + 1 + len(own)] = own[begin - at - 1 :] + base
             at += len(own)
             base += int(own[-1])
         counts[0] = 0
@@ -143,7 +145,7 @@ class PrefixCounter:
 
     def total(self, words: list[str]) -> int:
         known = self.words
-        return sum(int(known[word][-1]) for word in words)
+        return sum([known[word][-1] for word in words])
 
 
 def _worker(model: str) -> PrefixCounter:

@@ -46,7 +46,8 @@ def test_the_program_itself_is_exact_on_the_corpus(spark, sf_small):
     for text, split in zip(texts, words, strict=True):
         assert counter.total(split) == len(exact.encode(text or ""))
     word = max(counter.words, key=len)
-    assert list(counter.words[word]) == [len(counter.plain.encode(word[:n])) for n in range(1, len(word) + 1)]
+    whole = T.WORD_MARK + word
+    assert list(counter.words[word]) == [len(counter.plain.encode(whole[:n])) for n in range(1, len(whole) + 1)]
 
 
 def test_questions_need_no_encoding(spark):
