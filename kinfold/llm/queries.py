@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import langid, mixing, packing, quality, token_counts
+from kinfold.llm import jaccard, langid, mixing, packing, quality, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
@@ -30,6 +30,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder), words=3, num=90, den=100)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return token_counts.token_counts(docs).select(
@@ -58,6 +62,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
@@ -98,6 +103,35 @@ SELECT doc_id, size, source_size, target,
        (size * CASE WHEN source_size > 0
                THEN greatest(ceil((target - place) / source_size), 0) ELSE 0 END)::BIGINT AS taken
 FROM p
+""",
+    "op4_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+  FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * i >= 90 * (na.n + nb.n - i)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach(x, y) AS (
+  SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a
+), c AS (
+  SELECT x, min(y) AS m FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
 """,
     "op9_quality_rules": f"""
 WITH d AS (
