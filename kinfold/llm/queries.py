@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import jaccard, langid, mixing, packing, quality, token_counts
+from kinfold.llm import jaccard, langid, mixing, packing, quality, suffix_dedup, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
 OVER_LIMIT_TOKENS = 4096
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = cut(documents(spark, folder).select("doc_id", "source", mixing.word_count().alias("size")))
     return mixing.assign(docs, size=F.col("size")).select(
@@ -60,6 +71,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
