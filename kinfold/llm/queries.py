@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import jaccard, langid, mixing, packing, quality, suffix_dedup, token_counts
+from kinfold.llm import jaccard, langid, licenses, mixing, packing, quality, suffix_dedup, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
@@ -55,6 +55,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, folder))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     network = langid.fit(docs.filter(langid.fold() != 2))
@@ -76,12 +80,18 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TEMPLATE_ROWS = ", ".join(
+    "({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES)
+)
+_PLAIN = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+')"
+
 ORACLE: dict[str, str] = {
     "op2_mixing": f"""
 WITH d AS (
@@ -144,6 +154,33 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+""",
+    "op7_license_scan": f"""
+WITH t AS (
+  SELECT k, license, {_PLAIN.format("body")} AS w FROM (VALUES {_TEMPLATE_ROWS}) v(k, license, body)
+), ts AS (
+  SELECT DISTINCT k, license, len(w) AS m, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s
+  FROM t
+), tn AS (
+  SELECT k, license, any_value(m) AS m, count(*) AS n,
+         (2 ** ceil(log2(2 * any_value(m))))::BIGINT AS size FROM ts GROUP BY k, license
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_PLAIN.format("coalesce(text, '')")} AS w FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(range(0, len(w) - 1)) AS i, w FROM d
+), h AS (
+  SELECT r, doc_id, i, k, license, s
+  FROM (SELECT r, doc_id, i, w[i + 1] || ' ' || w[i + 2] AS s FROM p) JOIN ts USING (s)
+), x AS (
+  SELECT h.*, n, size, unnest([i // (size // 2), i // (size // 2) - 1]) AS win
+  FROM h JOIN tn USING (k, license)
+), c AS (
+  SELECT r, doc_id, license, k, win * (size // 2) AS first_word, count(DISTINCT s) / any_value(n) AS containment
+  FROM x WHERE win >= 0 AND i + 2 <= win * (size // 2) + size
+  GROUP BY r, doc_id, license, k, win, size
+)
+SELECT doc_id, license, max(containment) AS containment, min(first_word)::BIGINT AS first_word
+FROM c WHERE containment >= 0.8 GROUP BY r, doc_id, license
 """,
     "op9_quality_rules": f"""
 WITH d AS (

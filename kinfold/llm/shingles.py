@@ -56,18 +56,18 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word."""
-    inside = _IS_WORD[np.frombuffer(data, np.uint8)]
+def word_spans(data: bytes, letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word, a run of bytes marked in ``letters``."""
+    inside = letters[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     return edges[::2], edges[1::2]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one entry more)."""
     encoded = [(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]
     data = b" ".join(encoded)
-    starts, ends = word_spans(data)
+    starts, ends = word_spans(data, letters)
     up, down = _power(len(data) + 1)
     raw = np.frombuffer(data, np.uint8)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -77,17 +77,22 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, at)
 
 
+def rolled_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of ``words`` neighbouring words each, also across texts."""
+    count = max(len(hashes) - words + 1, 0)
+    rolled = np.zeros(count, np.uint64)
+    for j in range(words):
+        rolled += hashes[j : j + count] * _PLACE[j]
+    return mix(rolled)
+
+
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text.
 
     With fewer words the whole sequence is the one shingle; without words the set is empty.
     """
     hashes, bounds = word_hashes(texts)
-    count = max(len(hashes) - words + 1, 0)
-    rolled = np.zeros(count, np.uint64)
-    for j in range(words):
-        rolled += hashes[j : j + count] * _PLACE[j]
-    rolled = mix(rolled)
+    rolled = rolled_hashes(hashes, words)
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= words:
