@@ -178,7 +178,7 @@ class Shard:
         up = np.ones(n, np.int8)
         up[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1])
         # Where neighbours are equal the next difference decides.
-        at = np.where(up != 0, np.arange(n), n - 1)
+        at = np.where(up != 0, np.arange(n, dtype=self.index), self.index(n - 1))
         at = np.minimum.accumulate(at[::-1])[::-1]
         self.is_s = up[at] > 0
         seeds = self.is_s.copy()
@@ -317,9 +317,8 @@ def window_minima(
     """
     text, starts = join_segments(segments)
     lengths = np.array([len(s) for s in segments], np.int64)
-    segment = np.repeat(np.arange(len(segments)), lengths + 1)[: len(text) - 1]
-    inside = np.arange(len(text) - 1) - starts[segment]
-    is_window = inside + depth <= lengths[segment]
+    segment = np.repeat(np.arange(len(segments), dtype=np.int32), lengths + 1)[: len(text) - 1]
+    is_window = np.arange(len(text) - 1) + depth <= (starts + lengths)[segment]
     shard = Shard(text, depth, limit)
     positions, common = shard.order()
     if watch:

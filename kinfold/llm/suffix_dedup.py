@@ -18,6 +18,7 @@ once from each block, and a copied segment is sorted once.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ LENGTH = 50
 # Bytes of a string whose hash may name a window; 24 bytes of prose are rarely shared by chance.
 NAME_BYTES = 24
 BLOCK_BYTES = 16 << 20
+# Shards for each block: what one task sorts at a time is a fraction of what one block holds.
+SHARDS_PER_BLOCK = 4
 # Bytes that are hashed at once.
 PIECE_BYTES = 2 << 20
 _NAME_MASK = np.uint64((1 << 48) - 1)
@@ -131,12 +134,21 @@ def _pack(names: np.ndarray) -> bytes:
     return np.ascontiguousarray(names, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     raw = np.zeros((len(blob) // 6, 8), np.uint8)
     raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
     return raw.view("<u8").ravel()
 
 
+def _squeeze(values: np.ndarray, kind: str) -> bytes:
+    """A column of numbers as bytes that travel well."""
+    return zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def _expand(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), kind)
+
+
 def _by_part(names: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each part of the name space that has any."""
     part = (names % np.uint64(parts)).astype(np.int64)
@@ -148,10 +160,14 @@ def _by_part(names: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _tell_names(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
-    """Each name of a block once: first those of two of its documents, ``many`` of them."""
     runs = Runs(frame["data"].tolist(), length)
-    order = np.lexsort((runs.doc, runs.name))
-    name, doc = runs.name[order], runs.doc[order]
+    return tell(runs.name, runs.doc, int(frame["block"].iloc[0]), parts)
+
+
+def tell(name: np.ndarray, doc: np.ndarray, block: int, parts: int) -> pd.DataFrame:
+    """Each name of a block once: first those of two of its documents, ``many`` of them."""
+    order = np.lexsort((doc, name))
+    name, doc = name[order], doc[order]
     head = np.ones(len(name), bool)
     head[1:] = name[1:] != name[:-1]
     group = np.cumsum(head) - 1
@@ -159,7 +175,6 @@ def _tell_names(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     other[1:] = (doc[1:] != doc[:-1]) & ~head[1:]
     many = np.bincount(group[other], minlength=head.sum()) > 0
     name = name[head]
-    block = int(frame["block"].iloc[0])
     rows = []
     for part, at in _by_part(name, parts):
         twice = many[at]
@@ -167,9 +182,9 @@ def _tell_names(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "block", "many", "names"])
 
 
-def _share_names(frame: pd.DataFrame) -> pd.DataFrame:
+def share_names(frame: pd.DataFrame) -> pd.DataFrame:
     """For each block the names that another block holds too, or two of its documents."""
-    lists = [_unpack(b) for b in frame["names"]]
+    lists = [unpack(b) for b in frame["names"]]
     every = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     rows = []
@@ -181,21 +196,21 @@ def _share_names(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "names"])
 
 
-def _ids(frame: pd.DataFrame) -> np.ndarray:
+def row_ids(frame: pd.DataFrame) -> np.ndarray:
     """Ids of a block's documents; a missing id comes after all others."""
     return np.array([_LAST_ID if pd.isna(i) else int(i) for i in frame["id"]], np.int64)
 
 
 def _cut_segments(docs: pd.DataFrame, shared: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     """Distinct segments of a block by shard, with the smallest and largest id that has each."""
-    columns = ["part", "block", "prints", "names", "sizes", "lows", "highs", "data"]
+    columns = ["part", "block", "prints", "names", "sizes", "lows", "spreads", "data"]
     if not len(shared) or not len(docs):
         return pd.DataFrame(columns=columns)
-    wanted = np.sort(np.concatenate([_unpack(b) for b in shared["names"]]))
+    wanted = np.sort(np.concatenate([unpack(b) for b in shared["names"]]))
     runs = Runs(docs["data"].tolist(), length, wanted)
     if not len(runs.name):
         return pd.DataFrame(columns=columns)
-    ids = _ids(docs)[runs.doc]
+    ids = row_ids(docs)[runs.doc]
     order = np.lexsort((runs.print, runs.name))
     name, print_, ids = runs.name[order], runs.print[order], ids[order]
     head = np.ones(len(name), bool)
@@ -207,8 +222,9 @@ def _cut_segments(docs: pd.DataFrame, shared: pd.DataFrame, length: int, parts:
     rows = []
     for part, own in _by_part(name, parts):
         rows.append(
-            (part, block, print_[own].tobytes(), name[own].tobytes(), runs.size[first[own]].tobytes(),
-             low[own].tobytes(), high[own].tobytes(), b"".join(runs.bytes_of(r) for r in first[own]))
+            (part, block, print_[own].tobytes(), _pack(name[own]), _squeeze(runs.size[first[own]], "<u4"),
+             _squeeze(low[own], "<i8"), _squeeze(high[own] - low[own], "<i8"),
+             zlib.compress(b"".join(runs.bytes_of(r) for r in first[own]), 1))
         )
     return pd.DataFrame(rows, columns=columns)
 
@@ -223,20 +239,21 @@ def _sort_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     lows: list[int] = []
     senders = []
     for row in frame.sort_values("block").itertuples(index=False):
-        names, prints = np.frombuffer(row.names, "<u8"), np.frombuffer(row.prints, "<u8")
-        sizes, low = np.frombuffer(row.sizes, "<i8"), np.frombuffer(row.lows, "<i8")
+        names, prints = unpack(row.names), np.frombuffer(row.prints, "<u8")
+        sizes, low, data = _expand(row.sizes, "<u4"), _expand(row.lows, "<i8"), zlib.decompress(row.data)
         number = np.empty(len(names), np.int64)
         at = 0
         for k, (key, size, least) in enumerate(zip(zip(names.tolist(), prints.tolist(), strict=True), sizes.tolist(), low.tolist(), strict=True)):
             place = known.setdefault(key, len(segments))
             if place == len(segments):
-                segments.append(row.data[at : at + size])
+                segments.append(data[at : at + size])
                 lows.append(least)
             elif least < lows[place]:
                 lows[place] = least
             number[k] = place
             at += size
-        senders.append((row.block, names, prints, np.frombuffer(row.highs, "<i8"), number))
+        senders.append((row.block, names, prints, low + _expand(row.spreads, "<i8"), number))
+    del data, known
     least, starts = window_minima(segments, np.array(lows, np.int64), length)
     sizes = np.array([len(s) for s in segments], np.int64)
     # Ranges of equal smallest ids, and the smallest of each segment.
@@ -259,7 +276,7 @@ def _sort_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         counts = first[own + 1] - first[own]
         pick = np.repeat(first[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         ranges = np.stack([np.repeat(np.arange(len(own)), counts), begin[pick], span[pick], value[pick]])
-        rows.append((block, names[removable].tobytes(), prints[removable].tobytes(), ranges.astype("<i8").tobytes()))
+        rows.append((block, _pack(names[removable]), prints[removable].tobytes(), _squeeze(ranges, "<i8")))
     return pd.DataFrame(rows, columns=["block", "names", "prints", "ranges"])
 
 
@@ -270,8 +287,8 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFram
     if len(found):
         names, prints, tables, base = [], [], [], 0
         for row in found.itertuples(index=False):
-            own = np.frombuffer(row.names, "<u8")
-            table = np.frombuffer(row.ranges, "<i8").reshape(4, -1).copy()
+            own = unpack(row.names)
+            table = _expand(row.ranges, "<i8").reshape(4, -1).copy()
             table[0] += base
             base += len(own)
             names.append(own)
@@ -294,7 +311,7 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFram
         counts = first[segment + 1] - first[segment]
         pick = np.repeat(first[segment] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         run = np.repeat(run, counts)
-        earlier = table[3][pick] < _ids(docs)[runs.doc[run]]
+        earlier = table[3][pick] < row_ids(docs)[runs.doc[run]]
         run, pick = run[earlier], pick[earlier]
         doc, begin = runs.doc[run], runs.start[run] + table[1][pick]
         end = begin + table[2][pick] - 1 + length
@@ -316,19 +333,11 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFram
     return pd.DataFrame({"block": docs["block"], "row": docs["row"], "kept": kept, "spans": spans})
 
 
-def remove_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """(doc_id, n_bytes, kept, spans, other) for every row of ``docs``.
+def block_table(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` as (id, data, other, row, block), written once and bucketed by block.
 
-    Removed is every byte covered by a string of ``length`` bytes that also starts in a document
-    with a smaller id. Strings are judged on the input and never cross documents. ``kept`` are the
-    remaining bytes, ``spans`` the maximal removed runs (start, end) in bytes, ``other`` a struct of
-    all other columns under their names. Null texts count as empty. Rows that share an id take
-    nothing from each other; a null id counts as larger than all others. ``length`` is 32 at least.
+    Blocks hold about ``block_bytes`` each; later steps regroup by block without moving the texts.
     """
-    if length < NAME_BYTES + 8:
-        raise ValueError(f"strings have {NAME_BYTES + 8} bytes or more")
     spark = docs.sparkSession
     others = [F.col(c) for c in docs.columns if c not in (text, doc_id)]
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
@@ -344,18 +353,35 @@ def remove_repeats(
         rows.repartition(blocks, "block").write.bucketBy(blocks, "block")
         .option("path", f"{shared_folder(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
     )
-    table = spark.table(name)
+    return spark.table(name), blocks
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(doc_id, n_bytes, kept, spans, other) for every row of ``docs``.
+
+    Removed is every byte covered by a string of ``length`` bytes that also starts in a document
+    with a smaller id. Strings are judged on the input and never cross documents. ``kept`` are the
+    remaining bytes, ``spans`` the maximal removed runs (start, end) in bytes, ``other`` a struct of
+    all other columns under their names. Null texts count as empty. Rows that share an id take
+    nothing from each other; a null id counts as larger than all others. ``length`` is 32 at least.
+    """
+    if length < NAME_BYTES + 8:
+        raise ValueError(f"strings have {NAME_BYTES + 8} bytes or more")
+    table, blocks = block_table(docs, doc_id, text, block_bytes)
     slim = table.select("id", "data", "block")
+    parts = SHARDS_PER_BLOCK * blocks
 
     told = slim.select("data", "block").groupBy("block").applyInPandas(
-        lambda frame: _tell_names(frame, length, blocks), "part int, block int, many int, names binary"
+        lambda frame: _tell_names(frame, length, parts), "part int, block int, many int, names binary"
     )
-    shared = told.groupBy("part").applyInPandas(_share_names, "block int, names binary")
+    shared = told.groupBy("part").applyInPandas(share_names, "block int, names binary")
     segments = (
         slim.groupBy("block").cogroup(shared.groupBy("block"))
         .applyInPandas(
-            lambda a, b: _cut_segments(a, b, length, blocks),
-            "part int, block int, prints binary, names binary, sizes binary, lows binary, highs binary, data binary",
+            lambda a, b: _cut_segments(a, b, length, parts),
+            "part int, block int, prints binary, names binary, sizes binary, lows binary, spreads binary, data binary",
         )
     )
     found = segments.groupBy("part").applyInPandas(
