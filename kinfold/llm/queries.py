@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import jaccard, langid, licenses, mixing, packing, quality, suffix_dedup, token_counts
+from kinfold.llm import compact_windows, jaccard, langid, licenses, mixing, packing, quality, suffix_dedup, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
@@ -74,6 +74,19 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    words = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    return compact_windows.repeated_passages(docs).select(
+        "doc_id",
+        mixing.word_count().alias("n_words"),
+        words.alias("n_repeated"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_min("origins").alias("first_origin"),
+        F.size("origins").cast("long").alias("n_origins"),
+    )
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
@@ -83,6 +96,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
