@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import compact_windows, jaccard, langid, licenses, mixing, packing, quality, suffix_dedup, token_counts
+from kinfold.llm import compact_windows, jaccard, langid, licenses, mixing, packing, quality, search, suffix_dedup, token_counts
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
 OVER_LIMIT_TOKENS = 4096
+QUERY_EVERY = 50
 
 
 def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder), words=3, num=90, den=100)
 
 
+def op5_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.top_k(documents(spark, folder), F.col("doc_id") % QUERY_EVERY == 0)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return token_counts.token_counts(docs).select(
@@ -92,6 +97,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_top_k_search": op5_top_k_search,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_language_id": op8_language_id,
@@ -168,6 +174,31 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+""",
+    "op5_top_k_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), t AS (
+  SELECT r, doc_id, w, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT r, doc_id, len(w)::DOUBLE AS n, unnest(w) AS w FROM d) GROUP BY r, doc_id, w
+), f AS (
+  SELECT w, count(*)::DOUBLE AS df FROM t GROUP BY w
+), g AS (
+  SELECT count(*)::DOUBLE AS docs, sum(len(w))::DOUBLE / count(*)::DOUBLE AS mean FROM d
+), v AS (
+  SELECT r, doc_id, w, floor(1000000::DOUBLE * ln(1::DOUBLE + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+    * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * n / mean))) + 0.5::DOUBLE)::BIGINT AS units
+  FROM t JOIN f USING (w), g
+), s AS (
+  SELECT q.r AS ask, q.doc_id AS query_id, v.r, v.doc_id, sum(units) AS units
+  FROM t q JOIN v USING (w) WHERE q.doc_id % 50 = 0 GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY ask ORDER BY units DESC, doc_id NULLS LAST) AS rank FROM s WHERE units > 0
+)
+SELECT query_id, rank::INT AS rank, doc_id, units::DOUBLE / 1000000::DOUBLE AS score FROM k WHERE rank <= 10
 """,
     "op7_license_scan": f"""
 WITH t AS (
