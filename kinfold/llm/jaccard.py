@@ -9,9 +9,10 @@
 4. Group pairs are expanded to their members, and every pair is verified on the texts.
 
 The result is components, so a pair within one component need not be verified. A first round
-compares all holders of a shingle with only the smallest and the largest of them, which joins the
-copies of one text in linear work. The second round takes every remaining pair of holders that lie
-in different components, without forming pairs inside the largest component of a shingle.
+compares each group with two others only, the smallest and the largest holder that it meets most
+often, which joins the copies of one text in linear work. The second round takes every remaining
+pair of holders that lie in different components, without forming pairs inside the largest
+component of a shingle.
 """
 
 from __future__ import annotations
@@ -123,13 +124,28 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, tokens array<long>, p1 long, p2 long")
 
 
-def _can_reach(n: str, m: str, i: str | Column, j: str | Column, num: int, den: int) -> Column:
-    """Size bound, and overlap still possible for a token at places i and j (from 0)."""
-    n, m = F.col(n), F.col(m)
-    i, j = (F.col(x) if isinstance(x, str) else x for x in (i, j))
+def _can_reach(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
+    """Size bound, and room after places i and j (from 0) for all that must be shared.
+
+    The first shared token of a pair that links always passes: nothing before it is shared.
+    """
+    n, m, i, j = (F.col(x) for x in (n, m, i, j))
     sizes = (den * F.least(n, m)) >= (num * F.greatest(n, m))
-    most = F.least(i, j) + F.least(n - i, m - j)
-    return sizes & ((num + den) * most >= num * (n + m))
+    return sizes & ((num + den) * F.least(n - i, m - j) >= num * (n + m))
+
+
+def _promising(pairs: DataFrame, grouped: DataFrame, a: list[str], b: list[str], num: int, den: int) -> DataFrame:
+    """Group pairs whose prefixes share enough.
+
+    What is shared outside both prefixes lies in the rest of the set whose prefix ends first.
+    """
+    sides = []
+    for columns, n, tokens in ((a, "_n", "_t"), (b, "_m", "_u")):
+        sides.append(grouped.select(F.col("g").alias(columns[0]), F.col("g1").alias(columns[1]), F.col("n").alias(n), F.col("tokens").alias(tokens)))
+    met = pairs.join(sides[0], a).join(sides[1], b)
+    rest = F.greatest(F.col("_n") - F.size("_t"), F.col("_m") - F.size("_u"))
+    shared = F.size(F.array_intersect("_t", "_u")) + rest
+    return met.filter((num + den) * shared >= num * (F.col("_n") + F.col("_m"))).drop("_n", "_t", "_m", "_u")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -204,15 +220,20 @@ def jaccard_components(
     )
     shared = cut(postings.join(ends, "token"))
 
-    # First round: every holder with the smallest and the largest one; members with their head.
-    first = [
-        shared.filter(F.struct("g", "g1") != F.struct(f"{end}.g", f"{end}.g1"))
-        .filter(_can_reach("n", f"{end}.n", "pos", f"{end}.pos", num, den))
-        .select(*_ordered("g", "g1", f"{end}.g", f"{end}.g1"))
-        for end in ("low", "high")
-    ]
+    # First round: every holder with the smallest and the largest one that it meets most often;
+    # members with their head.
+    first = []
+    for end in ("low", "high"):
+        often = (
+            shared.filter(F.struct("g", "g1") != F.struct(f"{end}.g", f"{end}.g1"))
+            .filter(_can_reach("n", f"{end}.n", "pos", f"{end}.pos", num, den))
+            .groupBy("g", "g1", F.struct(f"{end}.g", f"{end}.g1").alias("e")).agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy("g", "g1").agg(F.max_by("e", F.struct("_c", "e")).alias("e"))
+        )
+        first.append(often.select(*_ordered("g", "g1", "e.g", "e.g1")))
+    outer = _promising(first[0].unionByName(first[1]).distinct(), grouped, ["a", "a1"], ["b", "b1"], num, den)
     inner = members.filter(F.struct("doc_id", "d1") != F.struct("g", "g1"))
-    candidates = first[0].unionByName(first[1]).unionByName(inner.select(*_ordered("doc_id", "d1", "g", "g1"))).distinct()
+    candidates = outer.unionByName(inner.select(*_ordered("doc_id", "d1", "g", "g1"))).distinct()
     edges = cut(_verify(candidates, docs, words, num, den))
     roots = cut(connected_components(edges).dropDuplicates(["node"]))
 
@@ -243,6 +264,7 @@ def jaccard_components(
         .filter("c <> c_").filter(_can_reach("n", "n_", "pos", "pos_", num, den))
         .select("g", "g1", "c", "g_", "g1_", "c_").distinct()
     )
+    met = _promising(met, grouped, ["g", "g1"], ["g_", "g1_"], num, den)
     left = placed.select("g", "g1", "c", F.col("doc_id").alias("x"), F.col("d1").alias("x1"))
     right = placed.select(
         F.col("g").alias("g_"), F.col("g1").alias("g1_"), F.col("c").alias("c_"),
