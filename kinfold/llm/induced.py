@@ -104,6 +104,28 @@ class Queues:
         return positions, np.frombuffer(self.file.read(n), np.uint8)
 
 
+_LOG = np.zeros(2 * STEP + 2, np.int64)
+_LOG[1:] = np.log2(np.arange(1, len(_LOG))).astype(np.int64)
+
+
+class _Minima:
+    """Smallest value of any range, from the minima of all ranges of 1, 2, 4, ... values."""
+
+    def __init__(self, values: np.ndarray):
+        tables, width = [values], 1
+        while 2 * width <= len(values):
+            tables.append(np.minimum(tables[-1][:-width], tables[-1][width:]))
+            width *= 2
+        self.flat = np.concatenate(tables)
+        self.at = np.cumsum([0, *map(len, tables)])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Minimum of every range [begin, end), each at least one long."""
+        level = _LOG[end - begin]
+        row = self.at[level]
+        return np.minimum(self.flat[row + begin], self.flat[row + end - (1 << level)]).astype(np.int16)
+
+
 class _Carry:
     """Smallest common prefix scanned since the last push into each queue."""
 
@@ -115,15 +137,11 @@ class _Carry:
         """Order by queue of the pushes at ``index`` of a scanned run, and their prefixes."""
         order = np.argsort(chars, kind="stable")
         k, c = index[order], chars[order].astype(np.intp)
-        tables = [prefixes]
-        width = 1
-        while 2 * width <= len(prefixes):
-            tables.append(np.minimum(tables[-1][:-width], tables[-1][width:]))
-            width *= 2
+        tables = _Minima(prefixes)
         head = np.ones(len(c), bool)
         head[1:] = c[1:] != c[:-1]
         begin = np.where(head, 0, np.concatenate([[0], k[:-1] + 1]))
-        found = self._range(tables, begin, k + 1)
+        found = tables.of(begin, k + 1)
         before = self.least[c]
         found = np.where(head, np.where(before < 0, -1, np.minimum(found, before)), found)
         known = self.least >= 0
@@ -133,38 +151,38 @@ class _Carry:
         begin = k[tail] + 1
         rest = np.full(len(begin), self.depth, np.int16)
         inside = begin < len(prefixes)
-        rest[inside] = self._range(tables, begin[inside], np.full(inside.sum(), len(prefixes)))
+        rest[inside] = tables.of(begin[inside], np.full(inside.sum(), len(prefixes)))
         self.least[c[tail]] = rest
         return order, np.minimum(found + 1, self.depth).astype(np.uint8)
 
-    @staticmethod
-    def _range(tables: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Minimum of every range [begin, end), each at least one long."""
-        level = np.frexp((end - begin).astype(np.float64))[1] - 1
-        out = np.empty(len(begin), np.int16)
-        for j in np.unique(level):
-            rows = level == j
-            table = tables[j]
-            out[rows] = np.minimum(table[begin[rows]], table[end[rows] - (1 << int(j))])
-        return out
-
     def idle(self, prefixes: np.ndarray) -> None:
         known = self.least >= 0
         self.least[known] = np.minimum(self.least[known], prefixes.min())
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of pairs of suffixes, character by character, while any pair still agrees."""
-    out = np.zeros(len(a), np.uint8)
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, enough: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of pairs of suffixes up to ``depth``, four characters at a time.
+
+    A pair that agrees in ``enough`` characters is not looked at further and counts as agreeing.
+    Nothing runs over the end: the sentinel ends every suffix and occurs once.
+    """
+    words = np.ndarray(len(text), "<u8", np.concatenate([text, np.zeros(3, text.dtype)]), strides=(2,))
+    out = np.full(len(a), depth, np.uint8)
     live = np.arange(len(a))
-    for j in range(depth):
+    for j in range(0, depth, 4):
         x, y = a[live] + j, b[live] + j
-        inside = (x < len(text)) & (y < len(text))
-        live = live[inside]
-        live = live[text[x[inside]] == text[y[inside]]]
+        differ = words[x] ^ words[y]
+        # Zero bits below the lowest that differs, by 16 to the character.
+        same = np.full(len(live), 4)
+        odd = differ != 0
+        low = differ[odd] & (~differ[odd] + np.uint64(1))
+        same[odd] = (np.log2(low.astype(np.float64)) // 16).astype(np.int64)
+        out[live[odd]] = np.minimum(j + same[odd], depth)
+        live = live[~odd]
+        if enough is not None:
+            live = live[enough[live] > j + 4]
         if not len(live):
             break
-        out[live] = j + 1
     return out
 
 
@@ -201,22 +219,21 @@ class Shard:
         """The seeds in the order of their suffixes, by names of the pieces between seeds."""
         text, seeds = self.text, self.seeds
         by_char = seeds[np.argsort(text[seeds], kind="stable")]
-        prefixes = np.zeros(len(seeds), np.uint8)
-        prefixes[1:] = text[by_char[1:]] == text[by_char[:-1]]
-        positions, common = self._induce(by_char, prefixes)
+        positions, _ = self._induce(by_char, None)
         is_seed = np.zeros(len(text), bool)
         is_seed[seeds] = True
         places = np.flatnonzero(is_seed[positions])
         if not len(places):
             return seeds
-        between = np.minimum.reduceat(common, np.concatenate([[0], places[:-1] + 1]))
         found = np.asarray(positions[places])
         number = np.zeros(len(text), self.index)
         number[seeds] = np.arange(len(seeds))
         rows = number[found]
+        # A piece reaches up to and with the first character of the next one.
         lengths = np.diff(seeds, append=len(text))[rows]
+        longer = np.minimum(self.depth, np.maximum(lengths[1:], lengths[:-1]) + 1)
         same = np.zeros(len(found), bool)
-        same[1:] = between[1:] >= np.minimum(self.depth, np.maximum(lengths[1:], lengths[:-1]) + 1)
+        same[1:] = _common(text, found[1:], found[:-1], self.depth, longer) >= longer
         names = np.zeros(len(seeds), np.int64)  # the sentinel keeps 0
         groups = np.cumsum(~same)
         names[rows] = groups[-1] - groups + 1
@@ -229,25 +246,32 @@ class Shard:
             span *= 2
         return seeds[np.argsort(names, kind="stable")]
 
-    def _scan(self, queues: Queues, carry: _Carry, positions: np.ndarray, prefixes: np.ndarray, want_s: bool) -> None:
+    def _scan(self, queues: Queues, carry: _Carry | None, positions: np.ndarray, prefixes: np.ndarray, want_s: bool) -> None:
         """Push the left neighbours of the wanted type."""
         index = np.flatnonzero((positions > 0) & (self.is_s[positions - 1] == want_s))
         if not len(index):
-            carry.idle(prefixes)
+            if carry:
+                carry.idle(prefixes)
             return
         left = positions[index] - self.index(1)
         chars = self.text[left]
-        order, found = carry.pushed(prefixes, index, chars)
+        if carry:
+            order, found = carry.pushed(prefixes, index, chars)
+        else:
+            order, found = np.argsort(chars, kind="stable"), np.zeros(len(index), np.uint8)
         left, chars = left[order], chars[order]
         cuts = np.flatnonzero(np.diff(chars)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True):
             queues.push(int(chars[a]), left[a:b], found[a:b])
 
-    def _induce(self, seeds: np.ndarray, seed_prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _induce(self, seeds: np.ndarray, seed_prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes from the order of the seeds; without their prefixes, the order alone."""
         text, depth = self.text, self.depth
+        exact = seed_prefixes is not None
+        seed_prefixes = seed_prefixes if exact else np.zeros(len(seeds), np.uint8)
         bounds = np.searchsorted(text[seeds], np.arange(ALPHABET + 1))
         # Ascending: what is already known of a character's L suffixes, then its seeds.
-        waiting, done, carry = Queues(self.limit), Queues(self.limit), _Carry(depth)
+        waiting, done, carry = Queues(self.limit), Queues(self.limit), _Carry(depth) if exact else None
         for char in range(ALPHABET):
             final = None
             while (part := waiting.take(char)) is not None:
@@ -266,7 +290,7 @@ class Shard:
         # Descending: a character's S suffixes, then its L suffixes from behind.
         found = scratch(len(text) - 1, self.index, self.limit)
         common = scratch(len(text) - 1, np.uint8, self.limit)
-        queues, carry, size = Queues(self.limit), _Carry(depth), 0
+        queues, carry, size = Queues(self.limit), _Carry(depth) if exact else None, 0
         for char in range(ALPHABET - 1, -1, -1):
             final = None
             while (part := queues.take(char)) is not None:

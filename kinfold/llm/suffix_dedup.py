@@ -129,15 +129,21 @@ class Runs:
         return self.datas[self.doc[run]][at : at + int(self.size[run])]
 
 
-def _pack(names: np.ndarray) -> bytes:
-    """48-bit names, six bytes each."""
-    return np.ascontiguousarray(names, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(names: np.ndarray, parts: int) -> bytes:
+    """48-bit names of one part: the part is their remainder, so only quotients are written.
+
+    The first byte says how many bytes each takes.
+    """
+    width = (((1 << 48) - 1) // parts).bit_length() + 7 >> 3
+    quotients = np.ascontiguousarray(names // np.uint64(parts), "<u8")
+    return bytes([width]) + quotients.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
+def unpack(blob: bytes, part: int, parts: int) -> np.ndarray:
+    width = blob[0]
+    raw = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return raw.view("<u8").ravel() * np.uint64(parts) + np.uint64(part)
 
 
 def _squeeze(values: np.ndarray, kind: str) -> bytes:
@@ -178,13 +184,14 @@ def tell(name: np.ndarray, doc: np.ndarray, block: int, parts: int) -> pd.DataFr
     rows = []
     for part, at in _by_part(name, parts):
         twice = many[at]
-        rows.append((part, block, int(twice.sum()), _pack(np.concatenate([name[at][twice], name[at][~twice]]))))
+        rows.append((part, block, int(twice.sum()), _pack(np.concatenate([name[at][twice], name[at][~twice]]), parts)))
     return pd.DataFrame(rows, columns=["part", "block", "many", "names"])
 
 
-def share_names(frame: pd.DataFrame) -> pd.DataFrame:
+def share_names(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
     """For each block the names that another block holds too, or two of its documents."""
-    lists = [unpack(b) for b in frame["names"]]
+    part = int(frame["part"].iloc[0])
+    lists = [unpack(b, part, parts) for b in frame["names"]]
     every = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     rows = []
@@ -192,8 +199,13 @@ def share_names(frame: pd.DataFrame) -> pd.DataFrame:
         shared = np.isin(names, twice)
         shared[:many] = True
         if shared.any():
-            rows.append((block, _pack(names[shared])))
-    return pd.DataFrame(rows, columns=["block", "names"])
+            rows.append((block, part, _pack(names[shared], parts)))
+    return pd.DataFrame(rows, columns=["block", "part", "names"])
+
+
+def shared_names(frame: pd.DataFrame, parts: int) -> np.ndarray:
+    """All shared names of a block, sorted."""
+    return np.sort(np.concatenate([unpack(b, p, parts) for b, p in zip(frame["names"], frame["part"], strict=True)]))
 
 
 def row_ids(frame: pd.DataFrame) -> np.ndarray:
@@ -206,7 +218,7 @@ def _cut_segments(docs: pd.DataFrame, shared: pd.DataFrame, length: int, parts:
     columns = ["part", "block", "prints", "names", "sizes", "lows", "spreads", "data"]
     if not len(shared) or not len(docs):
         return pd.DataFrame(columns=columns)
-    wanted = np.sort(np.concatenate([unpack(b) for b in shared["names"]]))
+    wanted = shared_names(shared, parts)
     runs = Runs(docs["data"].tolist(), length, wanted)
     if not len(runs.name):
         return pd.DataFrame(columns=columns)
@@ -222,24 +234,25 @@ def _cut_segments(docs: pd.DataFrame, shared: pd.DataFrame, length: int, parts:
     rows = []
     for part, own in _by_part(name, parts):
         rows.append(
-            (part, block, print_[own].tobytes(), _pack(name[own]), _squeeze(runs.size[first[own]], "<u4"),
+            (part, block, print_[own].tobytes(), _pack(name[own], parts), _squeeze(runs.size[first[own]], "<u4"),
              _squeeze(low[own], "<i8"), _squeeze(high[own] - low[own], "<i8"),
              zlib.compress(b"".join(runs.bytes_of(r) for r in first[own]), 1))
         )
     return pd.DataFrame(rows, columns=columns)
 
 
-def _sort_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def _sort_shard(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     """For each block: (name, print) of segments, and in them ranges of windows to be removed.
 
     ``ranges`` holds (segment, first window, windows, smallest id) by number of the block's list.
     """
+    part = int(frame["part"].iloc[0])
     known: dict[tuple[int, int], int] = {}
     segments: list[bytes] = []
     lows: list[int] = []
     senders = []
     for row in frame.sort_values("block").itertuples(index=False):
-        names, prints = unpack(row.names), np.frombuffer(row.prints, "<u8")
+        names, prints = unpack(row.names, row.part, parts), np.frombuffer(row.prints, "<u8")
         sizes, low, data = _expand(row.sizes, "<u4"), _expand(row.lows, "<i8"), zlib.decompress(row.data)
         number = np.empty(len(names), np.int64)
         at = 0
@@ -276,18 +289,18 @@ def _sort_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
         counts = first[own + 1] - first[own]
         pick = np.repeat(first[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         ranges = np.stack([np.repeat(np.arange(len(own)), counts), begin[pick], span[pick], value[pick]])
-        rows.append((block, _pack(names[removable]), prints[removable].tobytes(), _squeeze(ranges, "<i8")))
-    return pd.DataFrame(rows, columns=["block", "names", "prints", "ranges"])
+        rows.append((block, part, _pack(names[removable], parts), prints[removable].tobytes(), _squeeze(ranges, "<i8")))
+    return pd.DataFrame(rows, columns=["block", "part", "names", "prints", "ranges"])
 
 
-def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFrame:
+def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     """Bytes that stay, and the removed spans, for every document of a block."""
     datas = docs["data"].tolist()
     changes = {}
     if len(found):
         names, prints, tables, base = [], [], [], 0
         for row in found.itertuples(index=False):
-            own = unpack(row.names)
+            own = unpack(row.names, row.part, parts)
             table = _expand(row.ranges, "<i8").reshape(4, -1).copy()
             table[0] += base
             base += len(own)
@@ -336,23 +349,28 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.DataFram
 def block_table(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
     """``docs`` as (id, data, other, row, block), written once and bucketed by block.
 
-    Blocks hold about ``block_bytes`` each; later steps regroup by block without moving the texts.
+    Each partition is dealt into blocks of ``block_bytes`` at most, about; nothing is shuffled, here
+    or later when the table is grouped by block. The second value is how many such blocks there
+    would be if all were full: what the number of shards follows.
     """
     spark = docs.sparkSession
     others = [F.col(c) for c in docs.columns if c not in (text, doc_id)]
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = docs.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length(text)).alias("bytes"))
+    total, largest, pieces = sizes.agg(F.sum("bytes"), F.max("bytes"), F.count(F.lit(1))).first()
+    split = max(1, -(-(largest or 0) // block_bytes))
+    blocks = max(pieces * split, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    row = F.monotonically_increasing_id()
     rows = docs.select(
         F.col(doc_id).cast("long").alias("id"), data.alias("data"),
-        F.struct(*(others or [F.lit(None).cast("int").alias("_")])).alias("other"),
-        F.monotonically_increasing_id().alias("row"),
-    ).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+        F.struct(*(others or [F.lit(None).cast("int").alias("_")])).alias("other"), row.alias("row"),
+    ).withColumn("block", (F.spark_partition_id() * split + F.pmod(F.xxhash64("row"), F.lit(split))).cast("int"))
     name = f"kinfold_blocks_{uuid.uuid4().hex}"
     (
-        rows.repartition(blocks, "block").write.bucketBy(blocks, "block")
-        .option("path", f"{shared_folder(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(blocks, "block").option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
+        .option("compression", "zstd").saveAsTable(name)
     )
+    blocks = max(1, -(-(total or 0) // block_bytes))
     return spark.table(name), blocks
 
 
@@ -376,7 +394,7 @@ def remove_repeats(
     told = slim.select("data", "block").groupBy("block").applyInPandas(
         lambda frame: _tell_names(frame, length, parts), "part int, block int, many int, names binary"
     )
-    shared = told.groupBy("part").applyInPandas(share_names, "block int, names binary")
+    shared = told.groupBy("part").applyInPandas(lambda frame: share_names(frame, parts), "block int, part int, names binary")
     segments = (
         slim.groupBy("block").cogroup(shared.groupBy("block"))
         .applyInPandas(
@@ -385,12 +403,12 @@ def remove_repeats(
         )
     )
     found = segments.groupBy("part").applyInPandas(
-        lambda frame: _sort_shard(frame, length), "block int, names binary, prints binary, ranges binary"
+        lambda frame: _sort_shard(frame, length, parts), "block int, part int, names binary, prints binary, ranges binary"
     )
     cleaned = (
         table.select("id", "data", "block", "row").groupBy("block").cogroup(found.groupBy("block"))
         .applyInPandas(
-            lambda a, b: _remove(a, b, length), "block int, row long, kept binary, spans array<struct<start:long,end:long>>"
+            lambda a, b: _remove(a, b, length, parts), "block int, row long, kept binary, spans array<struct<start:long,end:long>>"
         )
     )
     rest = table.select("block", "row", "id", F.octet_length("data").cast("long").alias("n_bytes"), "other")
