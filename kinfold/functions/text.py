@@ -13,8 +13,9 @@ from pyspark.sql import Column, functions as F
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 ISO_INSTANT_PATTERN = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}(:[0-9]{2})?)$"
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?(Z|[+-][0-9]{2}:[0-9]{2})$"
 )
+DAY_END_PATTERN = r"T24:00(:00([.]0+)?)?(Z|[+-])"
 NOT_BLANK_PATTERN = (
     r"[^\u0009-\u000D\u001C-\u0020\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
 )
@@ -170,8 +171,10 @@ def iso_date(c: Column) -> Column:
 
 
 def iso_instant(c: Column) -> Column:
-    """A full ISO instant; bare dates and local times are not instants."""
-    return F.when(c.rlike(ISO_INSTANT_PATTERN), F.try_to_timestamp(c))
+    """A full ISO instant; bare dates and local times are not instants, 24:00 ends the day."""
+    day_end = c.rlike(DAY_END_PATTERN)
+    read = F.try_to_timestamp(F.when(day_end, F.regexp_replace(c, "T24:", "T00:")).otherwise(c))
+    return F.when(c.rlike(ISO_INSTANT_PATTERN), F.when(day_end, read + F.expr("INTERVAL 1 DAY")).otherwise(read))
 
 
 def observation_id(tenant: Column, system: Column, key: Column) -> Column:

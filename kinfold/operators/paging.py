@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+MOST_ROWS = 200
+
+
+def check_limit(limit: int) -> None:
+    """A page has 1 to ``MOST_ROWS`` rows; other wishes are refused, not cut."""
+    if not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"a page has 1 to {MOST_ROWS} rows, not {limit}")
+
+
 def page(
     rows: DataFrame, time: str, key: str, limit: int, after: tuple | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """Up to ``limit`` rows after the (time, key) position, and one more to tell if a page follows."""
+    check_limit(limit)
     t, k = F.col(time), F.col(key)
     if after is not None:
         at, last = F.lit(after[0]), F.lit(after[1])

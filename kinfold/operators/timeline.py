@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinfold.operators.paging import check_limit
 from kinfold.functions.text import ordering_key
 
 OBJECT = ["tenant_id", "source_system", "object_type", "object_id"]
@@ -98,9 +99,10 @@ def timeline_pages(
 ) -> DataFrame:
     """The first page of every guest, or the page after a (time, key) position.
 
-    ``limit`` is 1 to 200. Spark applies it on the map side before the guests are gathered.
+    ``limit`` is 1 to 200, else an error. Spark applies it on the map side before the guests are
+    gathered.
     """
-    limit = max(1, min(int(limit), 200))
+    check_limit(limit)
     if after is not None:
         time, key = F.lit(after[0]), F.lit(after[1])
         timeline = timeline.filter(

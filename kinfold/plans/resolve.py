@@ -231,13 +231,21 @@ def fuzzy_pass(
     links: DataFrame,
     arriving: DataFrame | None = None,
     matcher=None,
+    rules: DataFrame | None = None,
 ) -> FuzzyPass:
     """Score what identifiers left undecided, against profiles after the deterministic pass.
 
+    Identifiers that ``rules`` silence leave their records undecided too.
     ``matcher`` may replace the scorer: it takes (pairs, looks, holders) and returns pairs with
     score and band, so bands, gates and reviews stay shared.
     """
     linked = people.join(links.select("record_no", "guest_no"), "record_no")
+    if rules is not None:
+        ids = _effects(identifier_rows(people, "record_no"), rules)
+        mute = ids.filter(trust.silenced(F.col("effect"))).groupBy("record_no").agg(
+            F.collect_set(F.concat_ws(":", "type", "value")).alias("silenced")
+        )
+        linked = linked.join(mute, "record_no", "left")
     looks, holders, members = (cut(part) for part in scoring.sides(linked))
     fresh = None
     if arriving is not None:
@@ -254,7 +262,8 @@ def automatic_merges(
 ) -> tuple[DataFrame, DataFrame]:
     """(links, merges) after the pairs above a tenant's threshold have joined their guests.
 
-    A group in which a do-not-merge rule separates two guests is left as it is for review.
+    A group in which a do-not-merge rule separates two guests is left as it is; its pairs become
+    review pairs of ``fuzzy.scored``.
     """
     edges = cut(scoring.merge_pairs(fuzzy.scored, fuzzy.members))
     empty = links.sparkSession.createDataFrame([], "guest_no long, survivor long, confidence decimal(4,3)")
@@ -266,7 +275,16 @@ def automatic_merges(
         apart = spanning_pairs(active, links)
         low = apart.join(roots.withColumnsRenamed({"node": "guest_low", "root": "root"}), "guest_low")
         high = roots.withColumnsRenamed({"node": "guest_high", "root": "other"})
-        barred = low.join(high, "guest_high").filter("root = other").select("root").distinct()
+        barred = cut(low.join(high, "guest_high").filter("root = other").select("root").distinct())
+        held = roots.join(barred, "root", "left_semi").select(F.col("node").alias("guest_no"))
+        parted = (
+            fuzzy.members.join(held, "guest_no", "left_semi").select("tenant_id", "look").distinct()
+            .withColumn("parted", F.lit(True))
+        )
+        band = F.when(F.col("parted") & (F.col("band") == "AUTO_MERGE"), "REVIEW").otherwise(F.col("band"))
+        fuzzy.scored = cut(
+            fuzzy.scored.join(parted, ["tenant_id", "look"], "left").withColumn("band", band).drop("parted")
+        )
         roots = roots.join(barred, "root", "left_anti")
     weakest = edges.select("a", "score").unionByName(edges.select(F.col("b").alias("a"), "score"))
     weakest = weakest.groupBy("a").agg(F.max("score").alias("confidence"))

@@ -37,14 +37,29 @@ def read(spark: SparkSession, root: str, name: str, upto: list[int] | None = Non
     return spark.read.parquet(*[f"{_folder(root, g)}/{name}" for g in known])
 
 
-def publish(spark: SparkSession, root: str, generation: int, tables: dict[str, DataFrame]) -> None:
-    """Write the tables of a generation and then its marker."""
+def published_origins(spark: SparkSession, root: str, known: list[int]) -> set[tuple[str, int]]:
+    """(stream, epoch) of the published generations: small, one row a generation."""
+    if not known:
+        return set()
+    markers = spark.read.schema("generation long, stream string, epoch long").parquet(
+        *[f"{_folder(root, g)}/{MARKER}" for g in known]
+    )
+    return {(r.stream, r.epoch) for r in markers.filter("stream is not null").collect()}
+
+
+def publish(
+    spark: SparkSession, root: str, generation: int, tables: dict[str, DataFrame],
+    origin: tuple[str, int] | None = None,
+) -> None:
+    """Write the tables of a generation and then its marker, which names the epoch it came from."""
     folder = _folder(root, generation)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.range(1).withColumn("generation", F.lit(generation)).write.mode("overwrite").parquet(
-        f"{folder}/{MARKER}"
-    )
+    stream, epoch = origin or (None, None)
+    spark.range(1).select(
+        F.lit(generation).cast("long").alias("generation"), F.lit(stream).cast("string").alias("stream"),
+        F.lit(epoch).cast("long").alias("epoch"),
+    ).write.mode("overwrite").parquet(f"{folder}/{MARKER}")
 
 
 def current_links(spark: SparkSession, root: str, known: list[int]) -> DataFrame | None:

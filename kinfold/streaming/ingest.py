@@ -17,21 +17,26 @@ ENVELOPE_SCHEMA = "tenant_id string, ordinal long, received_at timestamp, body s
 def ingest_batch(
     batch: DataFrame,
     root: str,
-    generation: int,
+    generation: int | None,
     registry: DataFrame,
     config: DataFrame | None = None,
     rules: DataFrame | None = None,
     separations: DataFrame | None = None,
+    origin: tuple[str, int] | None = None,
 ) -> DataFrame | None:
     """Resolve and publish one batch; returns its outcome report, null if it was published before.
 
+    A batch is known by its ``generation`` or, for a stream, by its ``origin`` (stream, epoch);
+    it then takes the next generation, whatever other streams have published meanwhile.
     A key seen in any earlier batch is a repetition for good: stored keys are never forgotten,
     however late a replay comes.
     """
     spark = batch.sparkSession
     known = store.generations(spark, root)
-    if generation in known:
+    if generation in known or (origin and origin in store.published_origins(spark, root, known)):
         return None
+    if generation is None:
+        generation = max(known, default=-1) + 1
     parsed = cut(envelope.check_systems(envelope.parse(batch), registry))
     earlier = store.read(spark, root, "records", known)
     good = parsed.filter("error is null")
@@ -46,7 +51,7 @@ def ingest_batch(
     cases, _ = sharing_review_cases(result, state)
     tables = store.batch_tables(result, envelope.object_rows(records), cases, generation)
     report = cut(envelope.outcome_report(parsed, records, result.placed, result.links, cases, earlier))
-    store.publish(spark, root, generation, {**tables, "report": report})
+    store.publish(spark, root, generation, {**tables, "report": report}, origin)
     return report
 
 
@@ -57,12 +62,18 @@ def start_ingest(
     registry: DataFrame,
     config: DataFrame | None = None,
     rules: DataFrame | None = None,
+    separations: DataFrame | None = None,
     **trigger,
 ):
-    """Run the batch job on every micro-batch of a streaming DataFrame of envelopes."""
+    """Run the batch job on every micro-batch of a streaming DataFrame of envelopes.
+
+    Epochs count anew in a new checkpoint folder, so a batch is known by the id that its
+    checkpoint got when it began, and the epoch.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        ingest_batch(batch, root, epoch, registry, config, rules)
+        stream = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        ingest_batch(batch, root, None, registry, config, rules, separations, (stream, epoch))
 
     return (
         source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
