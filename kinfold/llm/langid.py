@@ -23,6 +23,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 # Bound of the training sample: about so many documents of each language, two windows from each.
 TRAIN_DOCUMENTS = 1000
+MOST_LABELS = 5000
 EPOCHS = 8
 BATCH = 64
 RATE = 0.01
@@ -153,23 +154,25 @@ def training_sample(
 ) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of about ``per_label`` documents of each label, drawn by a hash.
 
-    Each document gives its window at a hashed place and one at its start.
+    Each document gives its window at a hashed place and one at its start. Labels are counted over
+    all documents; only windows of the drawn ones leave their tasks.
     """
     named = docs.select(F.col(label).alias("label"), F.col(text).alias("text")).filter(
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = named.groupBy("label").count().withColumnRenamed("label", "_l")
+    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
+    if not counts:
+        return np.zeros((0, WINDOW_BYTES), np.uint8), np.zeros(0, np.int64), []
+    rates = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, per_label / n)))
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     place = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - WINDOW_BYTES, F.lit(1)))
-    drawn = (
-        named.join(counts, F.col("label") == F.col("_l"))
-        .filter(draw * F.col("count") < per_label)
-        .select(
-            "label",
-            F.array(F.lit(1), (place + 1).cast("int")).alias("at"),
-            "text",
-        )
-        .select("label", F.transform("at", lambda a: F.substring(F.col("text"), a, F.lit(WINDOW_BYTES))).alias("parts"))
+    drawn = named.filter(draw < F.element_at(rates, F.col("label"))).select(
+        "label",
+        F.array(
+            F.substring("text", 1, WINDOW_BYTES), F.substring(F.col("text"), (place + 1).cast("int"), F.lit(WINDOW_BYTES))
+        ).alias("parts"),
     )
     rows = sorted((r.label, part) for r in drawn.toLocalIterator() for part in set(r.parts))
     languages = sorted({label for label, _ in rows})
