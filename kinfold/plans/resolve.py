@@ -257,6 +257,46 @@ def fuzzy_pass(
     return FuzzyPass(looks, holders, members, scored)
 
 
+@dataclass
+class Outcome:
+    """Links after scoring, the merges by score, and (tenant_id, record_no, origin_type) of all reviews."""
+
+    links: DataFrame
+    merges: DataFrame
+    opened: DataFrame
+    fuzzy: FuzzyPass
+
+
+def finish(
+    result: Resolution, sharing: DataFrame, rules: DataFrame | None = None,
+    separations: DataFrame | None = None, neighbours: tuple[DataFrame, DataFrame] | None = None,
+) -> Outcome:
+    """Score a resolved batch and gather every review it opens.
+
+    ``sharing`` are the cases of crowded identifiers. ``neighbours`` are (people, links) of earlier
+    batches that share a blocking key with the batch; they are scored against, not anew.
+    """
+    people, links = result.records.select(*PERSON_COLUMNS), result.links
+    if neighbours is not None:
+        old_people, old_links = neighbours
+        old = old_links.join(result.moved, "guest_no", "left").select(
+            "tenant_id", "record_no", F.coalesce("survivor", "guest_no").alias("guest_no")
+        )
+        old = old.join(links.select("record_no"), "record_no", "left_anti")
+        links = cut(links.unionByName(old))
+        people = cut(people.unionByName(old_people.select(*PERSON_COLUMNS)).dropDuplicates(["record_no"]))
+    fuzzy = fuzzy_pass(people, links, result.records, rules=rules)
+    links, merges = automatic_merges(fuzzy, links, separations)
+    new = result.records.select("record_no")
+    scored = scoring.opened_cases(scoring.fuzzy_cases(fuzzy.scored), fuzzy.looks, fuzzy.members)
+    opened = (
+        sharing.select("tenant_id", "record_no", "origin_type")
+        .unionByName(result.vetoes.select("tenant_id", "record_no", "origin_type").distinct())
+        .unionByName(scored.join(new, "record_no", "left_semi"))
+    )
+    return Outcome(links, merges, cut(opened), fuzzy)
+
+
 def automatic_merges(
     fuzzy: FuzzyPass, links: DataFrame, separations: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

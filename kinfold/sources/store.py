@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.plans.resolve import PERSON_COLUMNS, Resolution, State, final_guests
 from kinfold.session import cut
+from kinfold.sources.extract import block_key_rows
 
 MARKER = "published"
 
@@ -94,6 +95,31 @@ def load_state(spark: SparkSession, root: str, known: list[int], touched: DataFr
     return State(people.select(*PERSON_COLUMNS), mine, links)
 
 
+def load_neighbours(
+    spark: SparkSession, root: str, known: list[int], records: DataFrame
+) -> tuple[DataFrame, DataFrame] | None:
+    """(people, links) of all guests with a record in one of the batch's blocks."""
+    old = read(spark, root, "records", known)
+    if old is None:
+        return None
+    keys = ["tenant_id", "rank", "value"]
+    asked = block_key_rows(records, "record_no").select(*keys).distinct()
+    near = block_key_rows(old, "record_no").join(asked, keys, "left_semi").select("record_no").distinct()
+    links = current_links(spark, root, known)
+    guests = links.join(near, "record_no", "left_semi").select("guest_no").distinct()
+    links = cut(links.join(guests, "guest_no", "left_semi").select("tenant_id", "record_no", "guest_no"))
+    people = old.join(links.select("record_no"), "record_no", "left_semi")
+    return people.select(*PERSON_COLUMNS), links
+
+
+def scored_merges(merges: DataFrame, generation: int) -> DataFrame:
+    """Merges by score as absorptions; they follow the batch, so they have no record of their own."""
+    return merges.select(
+        F.col("guest_no").alias("absorbed"), F.lit(None).cast("long").alias("at"), "survivor",
+        F.lit(generation).alias("generation"),
+    )
+
+
 def highest_number(spark: SparkSession, root: str, known: list[int]) -> int:
     placed = read(spark, root, "placed", known)
     return -1 if placed is None else placed.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.plans.resolve import prepare, resolve
+from kinfold.plans.resolve import finish, prepare, resolve
 from kinfold.plans.steward import sharing_review_cases
 from kinfold.session import cut
 from kinfold.sources import envelope, store
@@ -49,8 +49,12 @@ def ingest_batch(
     state = store.load_state(spark, root, known, identifier_rows(records, "record_no"))
     result = resolve(records, rules, separations, state)
     cases, _ = sharing_review_cases(result, state)
+    neighbours = store.load_neighbours(spark, root, known, records)
+    done = finish(result, cases, rules, separations, neighbours)
     tables = store.batch_tables(result, envelope.object_rows(records), cases, generation)
-    report = cut(envelope.outcome_report(parsed, records, result.placed, result.links, cases, earlier))
+    tables["absorbed"] = tables["absorbed"].unionByName(store.scored_merges(done.merges, generation))
+    tables["opened"] = done.opened
+    report = cut(envelope.outcome_report(parsed, records, result.placed, done.links, done.opened, earlier))
     store.publish(spark, root, generation, {**tables, "report": report}, origin)
     return report
 

@@ -117,3 +117,38 @@ def test_barred_merges_are_queued(spark):
     links, merges = automatic_merges(fuzzy, result.links, apart)
     assert clusters(links, records)["t"] == groups({"r1"}, {"r2"}) and not merges.head(1)
     assert scoring.fuzzy_cases(fuzzy.scored).count() == 1
+
+
+def outcomes(report):
+    return {r.external_key: (r.status, r.review_cases) for r in report.collect()}
+
+
+def person(key, **payload):
+    return json.dumps({"sourceSystem": "pms", "externalKey": key, "payload": payload})
+
+
+def test_outcomes_name_fuzzy_reviews(spark):
+    """In one batch, and against people of an earlier one."""
+    from kinfold.streaming.ingest import ingest_batch
+
+    registry = spark.createDataFrame([("t", "pms")], "tenant_id string, code string")
+    at = datetime(2026, 7, 9)
+    bodies = [
+        person("r1", **ANNA), person("r2", **ANN2), person("r3", firstName="Eva", lastName="Roth", birthdate="1990-01-01"),
+    ]
+    rows_ = [("t", n, at.replace(hour=n), b) for n, b in enumerate(bodies)]
+    want = {"r1": ("CREATED_GUEST", None), "r2": ("CREATED_GUEST", "NAME_PHONETIC_BIRTHYEAR"), "r3": ("CREATED_GUEST", None)}
+    work = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    whole = ingest_batch(spark.createDataFrame(rows_, ENVELOPE_SCHEMA), f"{work}/one", None, registry)
+    found = outcomes(whole)
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in want.items()}
+    assert found["r1"][1] is None and found["r3"][1] is None and found["r2"][1]
+    for n, row in enumerate(rows_[:2]):
+        part = ingest_batch(spark.createDataFrame([row], ENVELOPE_SCHEMA), f"{work}/two", None, registry)
+        assert outcomes(part)[f"r{n + 1}"] == found[f"r{n + 1}"]
+    merged = spark.createDataFrame([("t", "0.850", "0.750", 10, OLD)], CONFIG_COLUMNS.replace("decimal(4,3)", "string"))
+    merged = merged.withColumns({c: F.col(c).cast("decimal(4,3)") for c in ("auto_merge_threshold", "review_floor")})
+    for row in rows_[:2]:
+        ingest_batch(spark.createDataFrame([row], ENVELOPE_SCHEMA), f"{work}/auto", None, registry, merged)
+    links = store.current_links(spark, f"{work}/auto", store.generations(spark, f"{work}/auto"))
+    assert links.select("guest_no").distinct().count() == 1
