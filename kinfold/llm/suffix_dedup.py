@@ -23,7 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from kinfold.llm.induced import window_minima
 from kinfold.llm.shingles import _BYTE, _power, mix
@@ -293,7 +295,7 @@ def _sort_shard(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "part", "names", "prints", "ranges"])
 
 
-def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
+def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int, parts: int) -> tuple[list[bytes], list[list[dict]]]:
     """Bytes that stay, and the removed spans, for every document of a block."""
     datas = docs["data"].tolist()
     changes = {}
@@ -343,7 +345,7 @@ def _remove(docs: pd.DataFrame, found: pd.DataFrame, length: int, parts: int) ->
         kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
         edges = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
         spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-    return pd.DataFrame({"block": docs["block"], "row": docs["row"], "kept": kept, "spans": spans})
+    return kept, spans
 
 
 def block_table(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
@@ -370,6 +372,8 @@ def block_table(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tu
         rows.write.bucketBy(blocks, "block").option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
         .option("compression", "zstd").saveAsTable(name)
     )
+    # Joins on block and row may then keep the table where its buckets are.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     blocks = max(1, -(-(total or 0) // block_bytes))
     return spark.table(name), blocks
 
@@ -405,13 +409,26 @@ def remove_repeats(
     found = segments.groupBy("part").applyInPandas(
         lambda frame: _sort_shard(frame, length, parts), "block int, part int, names binary, prints binary, ranges binary"
     )
-    cleaned = (
-        table.select("id", "data", "block", "row").groupBy("block").cogroup(found.groupBy("block"))
-        .applyInPandas(
-            lambda a, b: _remove(a, b, length, parts), "block int, row long, kept binary, spans array<struct<start:long,end:long>>"
-        )
-    )
-    rest = table.select("block", "row", "id", F.octet_length("data").cast("long").alias("n_bytes"), "other")
-    return cleaned.join(rest, ["block", "row"]).select(
-        F.col("id").alias("doc_id"), "n_bytes", "kept", "spans", "other"
+    other = table.schema["other"].dataType
+    schema = StructType(
+        [
+            StructField("doc_id", LongType()), StructField("n_bytes", LongType()), StructField("kept", BinaryType()),
+            StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
+            StructField("other", other),
+        ]
     )
+
+    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
+        """All columns of a block stay where they are; only the texts change."""
+        docs = left.select(["id", "data"]).to_pandas(integer_object_nulls=True)
+        kept, spans = _remove(docs, right.to_pandas(), length, parts)
+        pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table(
+            {
+                "doc_id": left.column("id"), "n_bytes": pa.array([len(d) for d in docs["data"]], pa.int64()),
+                "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pair), "other": left.column("other"),
+            }
+        )
+
+    whole = table.select("id", "data", "other", "block").groupBy("block")
+    return whole.cogroup(found.groupBy("block")).applyInArrow(clean, schema)
