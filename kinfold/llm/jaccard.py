@@ -93,8 +93,26 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    """256 bits, one set for each token: a bit that another prefix lacks is a token it lacks."""
+    marks = np.zeros(256, np.uint8)
+    marks[tokens & 255] = 1
+    return np.packbits(marks).view("<i8").tolist()
+
+
+def _can_share(num: int, den: int) -> Column:
+    """Whether two prefixes (n, size, bits) and (n_, size_, bits_) can share enough, by their bits."""
+    lacks, lacks_ = (
+        sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(4)), F.lit(0))
+        for a, b in (("bits", "bits_"), ("bits_", "bits"))
+    )
+    both = F.least(F.col("size") - lacks, F.col("size_") - lacks_)
+    rest = F.greatest(F.col("n") - F.col("size"), F.col("n_") - F.col("size_"))
+    return (num + den) * (both + rest) >= num * (F.col("n") + F.col("n_"))
+
+
 def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, d1, tokens, p1, p2): the prefix of every set that can link to a different one."""
+    """(doc_id, n, d1, tokens, p1, p2, bits): the prefix of every set that can link to another one."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
     least = -(-num // (den - num)) if den > num else None
 
@@ -114,14 +132,15 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarra
                 row += len(group)
                 if found:
                     n, d1, tokens, p1, p2 = zip(*found, strict=True)
+                    bits = [_bitmap(t) for t in tokens]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(n, pa.int64()),
                          pa.array(d1, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                         pa.array(p1, pa.int64()), pa.array(p2, pa.int64())],
-                        ["doc_id", "n", "d1", "tokens", "p1", "p2"],
+                         pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
+                        ["doc_id", "n", "d1", "tokens", "p1", "p2", "bits"],
                     )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, tokens array<long>, p1 long, p2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, tokens array<long>, p1 long, p2 long, bits array<long>")
 
 
 def _can_reach(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
@@ -206,10 +225,10 @@ def jaccard_components(
     prefixes = cut(prefixes.join(heads, ["doc_id", "n", "d1"], "left_semi").dropDuplicates(["doc_id", "n", "d1"]))
     member = F.struct("doc_id", "d1")
     grouped = prefixes.groupBy("n", "p1", "p2").agg(
-        F.min(member).alias("g"), F.min_by("tokens", member).alias("tokens")
+        F.min(member).alias("g"), F.min_by(F.struct("tokens", "bits"), member).alias("t")
     )
-    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "tokens"))
-    members = cut(prefixes.drop("tokens").join(grouped.drop("tokens"), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n"))
+    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "t.tokens", "t.bits"))
+    members = cut(prefixes.drop("tokens", "bits").join(grouped.drop("tokens", "bits"), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n"))
 
     postings = grouped.select("g", "g1", "n", F.posexplode("tokens").alias("pos", "token"))
     holder = F.struct("n", "g", "g1", "pos")
@@ -255,13 +274,14 @@ def jaccard_components(
         .agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.max_by("c", F.struct("_n", "c")).alias("major"))
         .filter("_a <> _b").drop("_a", "_b")
     )
-    entries = cut(entries.join(mixed, ["kind", "token"]))
+    described = grouped.select("g", "g1", F.size("tokens").alias("size"), "bits")
+    entries = cut(entries.join(mixed, ["kind", "token"]).join(described, ["g", "g1"]))
     other = entries.drop("major").select(
-        "kind", "token", *(F.col(x).alias(f"{x}_") for x in ("g", "g1", "n", "pos", "c"))
+        "kind", "token", *(F.col(x).alias(f"{x}_") for x in ("g", "g1", "n", "pos", "c", "size", "bits"))
     )
     met = (
         entries.filter("c <> major").join(other, ["kind", "token"])
-        .filter("c <> c_").filter(_can_reach("n", "n_", "pos", "pos_", num, den))
+        .filter("c <> c_").filter(_can_reach("n", "n_", "pos", "pos_", num, den) & _can_share(num, den))
         .select("g", "g1", "c", "g_", "g1_", "c_").distinct()
     )
     met = _promising(met, grouped, ["g", "g1"], ["g_", "g1_"], num, den)
