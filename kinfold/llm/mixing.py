@@ -156,11 +156,21 @@ def mix(
     name: str = "position",
 ) -> DataFrame:
     """The mix itself: every taken copy of every document, range-sorted by training position."""
-    taken = assign(docs, doc_id, source, None, text, weights, most).filter("_copies > 0")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    taken = assign(docs, doc_id, source, None, text, weights, most)
+    return place(taken, [c for c in docs.columns if c != name], doc_id, curves, name)
+
+
+def place(
+    assigned: DataFrame,
+    kept: list[str],
+    doc_id: str = "doc_id",
+    curves: tuple[tuple[float, ...], ...] = CURVES,
+    name: str = "position",
+) -> DataFrame:
+    """Columns ``kept`` and the position of every copy that ``assign`` takes, range-sorted by position."""
+    copies = assigned.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("_place") + F.col("_copy") * F.col("_source_size")) / F.col("_target")
     turn = F.pmod(F.col("_turn"), F.lit(len(curves)))
     placed = copies.withColumn(name, position(F.least(share, F.lit(1.0)), turn, curves))
-    kept = [c for c in docs.columns if c != name]
-    pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.select(*kept, name).repartitionByRange(pieces, name).sortWithinPartitions(name, doc_id)

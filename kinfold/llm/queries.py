@@ -24,13 +24,22 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = cut(documents(spark, folder).select("doc_id", "source", mixing.word_count().alias("size")))
-    return mixing.assign(docs, size=F.col("size")).select(
+    """What the mix takes of every document, in the order in which training meets them; untaken ones last."""
+    docs = cut(
+        documents(spark, folder)
+        .select("doc_id", "source", mixing.word_count().alias("size"), F.monotonically_increasing_id().alias("row"))
+    )
+    assigned = cut(mixing.assign(docs, size=F.col("size")))
+    mixed = cut(mixing.place(assigned, ["doc_id", "row", "size"]))
+    met = mixed.groupBy("row").agg(F.sum("size").alias("taken"), F.min("position").alias("position"))
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id")]
+    return assigned.join(met, "row", "left").repartitionByRange(pieces, *order).sortWithinPartitions(*order).select(
         "doc_id",
         "size",
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("size") * F.col("_copies")).alias("taken"),
+        F.coalesce("taken", F.lit(0)).alias("taken"),
     )
 
 

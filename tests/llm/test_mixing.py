@@ -1,12 +1,14 @@
 """Source targets, curriculum positions, and the mix as rows."""
 
 import math
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import mixing as M
+from kinfold.llm.queries import op2_mixing
 from tests.llm.oracle import same_as_sql
 
 SCHEMA = "doc_id long, text string, source string, _size string"
@@ -90,3 +92,16 @@ def test_empty_table(spark):
 
 def test_query(spark, sf_small):
     assert same_as_sql(spark, "op2_mixing", sf_small) > 0
+
+
+def test_query_comes_from_the_placed_mix(spark, sf_small):
+    """Rows stand in training order, and each document's words are those of its copies in the mix."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    first, taken = {}, defaultdict(int)
+    for r in M.mix(docs).collect():
+        first[r.doc_id] = min(first.get(r.doc_id, 1.0), r.position)
+        taken[r.doc_id] += len(re.findall(M.WORD, r.text or ""))
+    rows = op2_mixing(spark, sf_small).collect()
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows}
+    places = [first.get(r.doc_id, 2.0) for r in rows]
+    assert places == sorted(places) and places[0] < places[-1]
