@@ -16,13 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-# Bound of the training sample: about so many documents of each language, two windows from each.
+# Bound of the training sample: at most so many distinct texts of each language, two windows from each.
 TRAIN_DOCUMENTS = 1000
+# More are drawn than kept, as distinct texts are counted by a sketch.
+SPARE = 1.25
 MOST_LABELS = 5000
 EPOCHS = 8
 BATCH = 64
@@ -152,20 +154,21 @@ def fold(doc_id: str = "doc_id") -> Column:
 def training_sample(
     docs: DataFrame, label: str = "lang", text: str = "text", per_label: int = TRAIN_DOCUMENTS, seed: int = SEED
 ) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels of about ``per_label`` documents of each label, drawn by a hash.
+    """Windows and labels of about ``per_label`` distinct texts of each label, never more, drawn by a hash.
 
-    Each document gives its window at a hashed place and one at its start. Labels are counted over
-    all documents; only windows of the drawn ones leave their tasks.
+    Each text gives its window at a hashed place and one at its start, however many documents have
+    it. Distinct texts are counted by sketches; only windows of the drawn ones leave their tasks.
     """
     named = docs.select(F.col(label).alias("label"), F.col(text).alias("text")).filter(
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
+    texts = named.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    counts = {r["label"]: max(r["texts"], 1) for r in texts.limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels are no languages")
     if not counts:
         return np.zeros((0, WINDOW_BYTES), np.uint8), np.zeros(0, np.int64), []
-    rates = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, per_label / n)))
+    rates = F.create_map(*(F.lit(x) for label, n in sorted(counts.items()) for x in (label, SPARE * per_label / n)))
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     place = F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.greatest(F.length("text") - WINDOW_BYTES, F.lit(1)))
     drawn = named.filter(draw < F.element_at(rates, F.col("label"))).select(
@@ -173,7 +176,12 @@ def training_sample(
         F.array(
             F.substring("text", 1, WINDOW_BYTES), F.substring(F.col("text"), (place + 1).cast("int"), F.lit(WINDOW_BYTES))
         ).alias("parts"),
+        draw.alias("_draw"), F.xxhash64("text", F.lit(seed + 2)).alias("_text"),
     )
+    # Copies fall away before the shuffle; the lowest draws of a label are kept.
+    distinct = drawn.groupBy("label", "_draw", "_text").agg(F.min("parts").alias("parts"))
+    lowest = Window.partitionBy("label").orderBy("_draw", "_text")
+    drawn = distinct.withColumn("_n", F.row_number().over(lowest)).filter(F.col("_n") <= per_label)
     rows = sorted((r.label, part) for r in drawn.toLocalIterator() for part in set(r.parts))
     languages = sorted({label for label, _ in rows})
     windows = [np.frombuffer(p.encode()[:WINDOW_BYTES].ljust(WINDOW_BYTES, b"\0"), np.uint8) for _, p in rows]

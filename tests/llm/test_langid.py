@@ -88,3 +88,15 @@ def test_odd_rows(spark):
     assert L.fit(empty) is None
     assert L.predict(docs, None).filter("lang_pred <> 'und'").count() == 0
     assert L.predict(empty, network).count() == 0
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A text with thousands of copies gives two windows at most, and a label its bound at most."""
+    from kinfold.llm import langid
+
+    for copied in range(6):
+        rows = [(f"copy number {copied} " * 40, "xx")] * 2000 + [(f"text {i} of {copied} " * 40, "xx") for i in range(400)]
+        docs = spark.createDataFrame(rows, "text string, lang string")
+        windows, _, _ = langid.training_sample(docs, per_label=300)
+        assert 400 <= len(windows) <= 600
+        assert sum(bytes(w).count(b"copy number") > 0 for w in windows) <= 2
