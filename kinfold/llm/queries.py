@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import compact_windows, jaccard, langid, licenses, mixing, packing, quality, search, suffix_dedup, token_counts
-from kinfold.llm.tables import documents
+from kinfold.llm import (
+    compact_windows, hilbert, jaccard, langid, licenses, merkle, mixing, packing, quality, search, suffix_dedup,
+    token_counts, whitening,
+)
+from kinfold.llm.tables import documents, table
 from kinfold.session import cut
 
 OVER_LIMIT_TOKENS = 4096
@@ -101,6 +104,53 @@ def op10_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Law ``rows``: 24 runs of the Hilbert curve over source, language and length."""
+    text = F.coalesce("text", F.lit(""))
+    docs = cut(
+        documents(spark, folder).select(
+            "doc_id", "source", "lang", "n_chars", (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+        )
+    )
+    return hilbert.shard(docs, ties=("doc_id", "text_crc32", "size")).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = whitening.whiten(vectors)
+    return found.select(
+        "row.vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("place")).alias("explained"), "identity_error",
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and root; documents with an even checksum of the id lose their line ends."""
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    changed = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = cut(
+        documents(spark, folder).select(
+            "doc_id", "source", merkle.leaf(list(fields.values())).alias("leaf"),
+            merkle.leaf([*(fields | {"text": changed}).values()]).alias("tampered"),
+        )
+    )
+    found = merkle.manifest(leaves, F.col("leaf"))
+    root = F.lit(found.root).cast("string")
+    folded = found.rows.withColumn("folded_root", merkle.fold(F.col("row.tampered"), F.col("path")))
+    return folded.select(
+        "row.doc_id", "leaf", "subroot", root.alias("root"),
+        merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
@@ -112,6 +162,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_compact_windows": op10_compact_windows,
+    "op11_hilbert_sharding": op11_hilbert_sharding,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,7 +174,109 @@ _TEMPLATE_ROWS = ", ".join(
 )
 _PLAIN = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+')"
 
+# CRC-32 of a string: its table of 256 entries by rule, then byte by byte.
+_CRC_TABLE = """(
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::BIGINT)),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _curve_sql(axes: list[str], bits: int, start: str) -> str:
+    """Common tables from ``start`` to ``h`` that turn grid coordinates into a Hilbert index."""
+    steps, first = [], axes[0]
+    for level in range(bits - 1, 0, -1):
+        bit, low = 1 << level, (1 << level) - 1
+        for x in axes:
+            turned, differ = f"{x} & {bit} <> 0", f"(xor({first}, {x}) & {low})"
+            sets = [f"CASE WHEN {turned} THEN xor({first}, {low}) ELSE xor({first}, {differ}) END AS {first}"]
+            if x != first:
+                sets.append(f"CASE WHEN {turned} THEN {x} ELSE xor({x}, {differ}) END AS {x}")
+            steps.append(f"* REPLACE ({', '.join(sets)})")
+    steps += [f"* REPLACE (xor({x}, {before}) AS {x})" for before, x in zip(axes, axes[1:])]
+    flips = [f"CASE WHEN {axes[-1]} & {1 << k} <> 0 THEN {(1 << k) - 1} ELSE 0 END" for k in range(bits - 1, 0, -1)]
+    flip = flips[0]
+    for f in flips[1:]:
+        flip = f"xor({flip}, {f})"
+    steps.append(f"*, ({flip})::BIGINT AS flip")
+    places = [(k, x) for k in range(bits - 1, -1, -1) for x in axes]
+    index = " + ".join(f"((xor({x}, flip) >> {k}) & 1) * {1 << (len(places) - 1 - i)}" for i, (k, x) in enumerate(places))
+    steps.append(f"*, {index} AS curve")
+    names = [start, *(f"{start}_{i}" for i in range(len(steps) - 1)), "h"]
+    return ", ".join(f"{new} AS (SELECT {step} FROM {old})" for old, new, step in zip(names, names[1:], steps))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CLIMB = """
+  SELECT {c}.r, {c}.tree, {c}.lvl + 1, {c}.place // 3, (total + 2) // 3,
+         sha256(array_to_string(kids[1 : place % 3], '') || folded || array_to_string(kids[place % 3 + 2 :], '')),
+         proof || array_to_string(kids[1 : place % 3], '') || array_to_string(kids[place % 3 + 2 :], '')
+  FROM {c} JOIN {p} ON {p}.tree = {c}.tree AND {p}.lvl = {c}.lvl AND {p}.parent = {c}.place // 3 WHERE total > 1
+"""
+_PIVOT = "SELECT tree, lvl, place // 3 AS parent, list(node ORDER BY place) AS kids FROM {} GROUP BY ALL"
+_GROW = """
+  SELECT tree, lvl + 1, place // 3, any_value(total + 2) // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM {} WHERE total > 1 GROUP BY tree, lvl, place // 3
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_hilbert_sharding": f"""
+WITH t AS (SELECT * FROM {_CRC_TABLE}),
+d AS (
+  SELECT doc_id, source, lang, n_chars, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+         {_CRC.format("coalesce(text, '')")} AS text_crc32,
+         (rank() OVER (ORDER BY source NULLS FIRST) - 1) * 16 // count(*) OVER () AS x,
+         (rank() OVER (ORDER BY lang NULLS FIRST) - 1) * 16 // count(*) OVER () AS y,
+         (rank() OVER (ORDER BY n_chars NULLS FIRST) - 1) * 16 // count(*) OVER () AS z
+  FROM documents, t
+),
+{_curve_sql(["x", "y", "z"], 4, "d")},
+k AS (
+  SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, text_crc32, size, source NULLS FIRST,
+                               lang NULLS FIRST, n_chars NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM h
+), s AS (
+  SELECT *, place * 24 // n AS shard FROM k
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard
+FROM s
+""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE t AS (SELECT * FROM {_CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC.format("doc_id::VARCHAR")} % 2 = 0
+              THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS tampered
+  FROM documents, t
+), l AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS total
+  FROM d
+), n(tree, lvl, place, total, node) AS (
+  SELECT tree, 0, place, total, leaf FROM l
+  UNION ALL {_GROW.format("n")}
+), p AS ({_PIVOT.format("n")}),
+u(tree, lvl, place, total, node) AS (
+  SELECT 0, 0, tree, (SELECT max(tree) + 1 FROM l), node FROM n WHERE total = 1
+  UNION ALL {_GROW.format("u")}
+), q AS ({_PIVOT.format("u")}),
+c(r, tree, lvl, place, total, folded, proof) AS (
+  SELECT r, tree, 0, place, total, tampered, '' FROM l
+  UNION ALL {_CLIMB.format(c="c", p="p")}
+), e(r, tree, lvl, place, total, folded, proof) AS (
+  SELECT r, 0, 0, tree, (SELECT max(tree) + 1 FROM l), folded, proof FROM c WHERE total = 1
+  UNION ALL {_CLIMB.format(c="e", p="q")}
+), z AS (SELECT node AS root FROM u WHERE total = 1)
+SELECT l.doc_id, l.leaf, n.node AS subroot, root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = root AS verified
+FROM l JOIN n ON n.tree = l.tree AND n.total = 1 JOIN e ON e.r = l.r AND e.total = 1, z
+""",
     "op2_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
