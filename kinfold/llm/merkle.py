@@ -79,7 +79,8 @@ def _descend(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout:
             under = here.filter("total > 1").withColumn("parent", parent).join(upper, ["tree", "parent"])
             path = F.concat(F.array(_siblings(fanout)), F.col("rest"))
             reached = reached.unionByName(under.withColumn("path", path).select(*here.columns, "top", "path"))
-        above = reached
+        # A plan over many levels weighs on the driver; upper levels are small, so a cut is cheap there.
+        above = cut(reached) if depth > 1 and depth % 3 == 2 else reached
     return above
 
 
