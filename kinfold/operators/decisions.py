@@ -1,26 +1,24 @@
 """Steward decisions applied to the current links, rules and reviews.
 
-Decisions of one tenant follow each other; those of different tenants do not touch, so wave n
-applies the n-th decision of every tenant with the same joins.
+Decisions follow each other where they touch a guest, identifier, review or rule in common;
+all others share a wave, which applies them with the same joins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold import schemas as V
 from kinfold.operators.identity import IDENTIFIER
+from kinfold.operators.order import running_total
 from kinfold.operators.reviews import follow_merges
-from kinfold.operators.settle import rule_guests, settle
+from kinfold.operators.separations import in_force, lift, named_pairs, ruling, separate
+from kinfold.operators.settle import settle
+from kinfold.operators.waves import ready
 from kinfold.session import cut
 
-RULE_SCHEMA = (
-    "tenant_id string, rule_id string, record_a long, record_b long, origin string, "
-    "actor_type string, actor_id string, created_at timestamp, lifted_at timestamp, "
-    "lifted_actor_type string, lifted_actor_id string"
-)
 REVIEW_SCHEMA = (
     "tenant_id string, review_id string, record_no long, candidate long, origin_type string, "
     "origin_value string, reason string, matcher string, confidence decimal(4,3), "
@@ -38,6 +36,7 @@ class World:
     """Current state: records' people and identifiers, links, rules, reviews and settings.
 
     ``identifiers`` are the ones that may match (tenant_id, rank, type, value, record_no, gated);
+    ``rules`` and ``sides`` are do-not-merge rules as two sets each (operators/separations.py);
     ``thresholds`` is (tenant_id, review_threshold).
     """
 
@@ -45,6 +44,7 @@ class World:
     identifiers: DataFrame
     links: DataFrame
     rules: DataFrame
+    sides: DataFrame
     reviews: DataFrame
     thresholds: DataFrame
 
@@ -68,12 +68,6 @@ def check_actor(decisions: DataFrame) -> DataFrame:
     )
 
 
-def waves(decisions: DataFrame) -> DataFrame:
-    """Number the accepted decisions of each tenant by time."""
-    order = Window.partitionBy("tenant_id").orderBy("decided_at", "decision_id")
-    return decisions.withColumn("wave", F.row_number().over(order))
-
-
 def check_unmerge(asked: DataFrame, links: DataFrame) -> DataFrame:
     """Add ``error`` to UNMERGE decisions that name no record, a lone guest or foreign records."""
     named = asked.select(
@@ -108,49 +102,6 @@ def check_unmerge(asked: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def separating_rules(left: DataFrame, right: DataFrame, origin: str, active: DataFrame) -> DataFrame:
-    """Do-not-merge rules between the two record sides of each decision, none twice.
-
-    ``left`` and ``right`` are (tenant_id, decision_id, record_no, ...); the smaller record is
-    always side a.
-    """
-    other = right.select("tenant_id", "decision_id", F.col("record_no").alias("other"))
-    pairs = (
-        left.join(other, ["tenant_id", "decision_id"]).filter("record_no <> other")
-        .select(
-            "tenant_id", "decision_id", F.least("record_no", "other").alias("record_a"),
-            F.greatest("record_no", "other").alias("record_b"),
-            F.lit(origin).alias("origin"), "actor_type", "actor_id",
-            F.col("decided_at").alias("created_at"),
-        )
-        .dropDuplicates(["tenant_id", "record_a", "record_b"])
-    )
-    fresh = pairs.join(
-        active.filter("lifted_at is null").select("tenant_id", "record_a", "record_b"),
-        ["tenant_id", "record_a", "record_b"], "left_anti",
-    )
-    return fresh.select(
-        "tenant_id",
-        F.concat_ws(":", "decision_id", F.col("record_a").cast("string"), F.col("record_b").cast("string")).alias("rule_id"),
-        "record_a", "record_b", "origin", "actor_type", "actor_id", "created_at",
-        F.lit(None).cast("timestamp").alias("lifted_at"),
-        F.lit(None).cast("string").alias("lifted_actor_type"),
-        F.lit(None).cast("string").alias("lifted_actor_id"),
-    )
-
-
-def lift(rules: DataFrame, hits: DataFrame) -> DataFrame:
-    """Stamp active rules named in ``hits`` (tenant_id, rule_id, at, by_type, by_id)."""
-    marked = rules.join(hits, ["tenant_id", "rule_id"], "left")
-    now = F.col("lifted_at").isNull() & F.col("at").isNotNull()
-    return marked.select(
-        *[c for c in rules.columns if not c.startswith("lifted")],
-        F.when(now, F.col("at")).otherwise(F.col("lifted_at")).alias("lifted_at"),
-        F.when(now, F.col("by_type")).otherwise(F.col("lifted_actor_type")).alias("lifted_actor_type"),
-        F.when(now, F.col("by_id")).otherwise(F.col("lifted_actor_id")).alias("lifted_actor_id"),
-    )
-
-
 def _events(rows: DataFrame, kind: Column, guest: Column, absorbed: Column, records: Column,
             matcher: Column, excluded: Column, actor_type: Column, actor_id: Column) -> DataFrame:
     return rows.select(
@@ -168,34 +119,35 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     checked = cut(check_unmerge(asked, world.links))
     errors = checked.filter("error is not null").select("tenant_id", "decision_id", "error")
     good = checked.filter("error is null")
-    detached = good.select(
-        "tenant_id", "decision_id", "guest_no", "actor_type", "actor_id", "decided_at",
-        F.posexplode(F.array_distinct(F.array_compact("record_nos"))).alias("place", "record_no"),
-    )
-    top = world.links.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0
     detached = cut(
-        detached.orderBy("decided_at", "decision_id", "place")
-        .withColumn("turn", F.monotonically_increasing_id() + F.lit(top + 1))
+        good.select(
+            "tenant_id", "decision_id", "guest_no", "actor_type", "actor_id", "decided_at", "at",
+            F.posexplode(F.array_distinct(F.array_compact("record_nos"))).alias("place", "record_no"),
+        ).withColumn("turn", F.col("at") + F.col("place"))
     )
     staying = world.links.join(detached.select("record_no"), "record_no", "left_anti")
     remaining = good.select("tenant_id", "decision_id", "guest_no").join(
         staying, ["tenant_id", "guest_no"]
     )
-    rules = world.rules.unionByName(separating_rules(detached, remaining, "UNMERGE", world.rules))
-    rules = cut(rules)
+    made, apart = separate(detached, remaining, "UNMERGE")
+    rules, sides = cut(world.rules.unionByName(made)), cut(world.sides.unionByName(apart))
     # Replay recounts sharing over all current records, not by arrival.
-    mine = world.identifiers.join(detached.select("record_no", "turn"), "record_no")
+    mine = world.identifiers.join(detached.select("record_no", "turn", "at"), "record_no")
     asked_ids = mine.select(*IDENTIFIER).distinct()
     carriers = world.identifiers.join(asked_ids, IDENTIFIER, "left_semi")
     counts = carriers.groupBy(*IDENTIFIER).agg(F.count_distinct("record_no").alias("sharing"))
     judged = mine.join(counts, IDENTIFIER).join(world.thresholds, "tenant_id", "left").withColumn(
         "review_threshold", F.coalesce("review_threshold", F.lit(V.DEFAULT_REVIEW_THRESHOLD))
     )
-    other = carriers.select(*IDENTIFIER, F.col("record_no").alias("earlier")).join(
-        detached.select(F.col("record_no").alias("earlier"), F.col("turn").alias("their_turn")), "earlier", "left"
+    theirs = detached.select(
+        F.col("record_no").alias("earlier"), F.col("turn").alias("their_turn"), F.col("at").alias("their_at"),
+        F.col("guest_no").alias("their_guest"),
     )
+    other = carriers.select(*IDENTIFIER, F.col("record_no").alias("earlier")).join(theirs, "earlier", "left")
+    # Records of the same decision that come back later are nowhere yet; those that a later decision
+    # takes out are still where they were.
     met = judged.join(other, IDENTIFIER).filter(
-        "earlier <> record_no and (their_turn is null or their_turn < turn)"
+        "earlier <> record_no and (their_turn is null or their_turn < turn or their_at > at)"
     )
     edges = met.filter("sharing <= review_threshold").select(
         "turn", "record_no", "rank", "type", "value", "gated", "earlier"
@@ -203,16 +155,12 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     touched = edges.select(F.col("earlier").alias("record_no")).distinct()
     guests = staying.join(touched, "record_no", "left_semi").select("guest_no").distinct()
     near = staying.join(guests, "guest_no", "left_semi")
-    active = rules.filter("lifted_at is null").select(
-        "tenant_id", "record_a", "record_b", F.lit(0).cast("long").alias("since"),
-        F.lit(None).cast("long").alias("until"),
-    )
     people = world.people.join(
         near.select("record_no").unionByName(detached.select("record_no")), "record_no", "left_semi"
     )
     excluded = detached.select("turn", "guest_no")
     outcomes, settled = settle(
-        detached.select("tenant_id", "turn", "record_no"), edges, near, people, active, excluded
+        detached.select("tenant_id", "turn", "record_no"), edges, near, people, in_force(rules, sides), excluded
     )
     tenant_of = world.links.select("tenant_id", "record_no")
     links = cut(
@@ -226,12 +174,14 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     admitted = outcomes.filter("kind <> 'CREATE'").select("record_no", F.col("guest_no").alias("candidate"))
     crowded = (
         met.filter("sharing > review_threshold")
-        .join(links.select(F.col("record_no").alias("earlier"), F.col("guest_no").alias("candidate")), "earlier")
+        .join(links.select(F.col("record_no").alias("earlier"), F.col("guest_no").alias("found")), "earlier")
+        .withColumn("candidate", F.when(F.col("their_at") > F.col("at"), F.col("their_guest")).otherwise(F.col("found")))
+        .join(emptied.select("tenant_id", F.col("guest_no").alias("candidate")), ["tenant_id", "candidate"], "left_anti")
         .join(detached.select("turn", F.col("guest_no").alias("left_guest")), "turn")
         .filter("candidate <> left_guest")
         .join(links.select("record_no", F.col("guest_no").alias("own")), "record_no").filter("candidate <> own")
         .select(
-            "tenant_id", "record_no", "candidate", "rank", F.col("type").alias("origin_type"),
+            "tenant_id", "record_no", "turn", "candidate", "rank", F.col("type").alias("origin_type"),
             F.col("value").alias("origin_value"),
             F.concat(
                 F.lit("identifier shared by "), F.col("sharing").cast("string"),
@@ -240,8 +190,8 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
         )
         .join(admitted, ["record_no", "candidate"], "left_anti")
     )
-    vetoed = outcomes.select("tenant_id", "record_no", F.explode("vetoes").alias("v")).select(
-        "tenant_id", "record_no", F.col("v.guest_no").alias("candidate"), F.lit(99).alias("rank"),
+    vetoed = outcomes.select("tenant_id", "record_no", "turn", F.explode("vetoes").alias("v")).select(
+        "tenant_id", "record_no", "turn", F.col("v.guest_no").alias("candidate"), F.lit(99).alias("rank"),
         F.col("v.type").alias("origin_type"), F.col("v.value").alias("origin_value"),
         F.col("v.reason").alias("reason"),
     )
@@ -266,17 +216,18 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
             by_matcher, none, F.lit("SYSTEM"), by_matcher,
         )
     )
-    return replace(world, links=links, rules=rules, reviews=reviews), events, errors
+    return replace(world, links=links, rules=rules, sides=sides, reviews=reviews), events, errors
 
 
 def _new_reviews(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Pairs that are not pending yet; the turn in the name tells them from decided ones of old."""
     one = rows.groupBy("tenant_id", "record_no", "candidate").agg(
-        F.min_by(F.struct("origin_type", "origin_value", "reason"), "rank").alias("w")
+        F.min_by(F.struct("origin_type", "origin_value", "reason", "turn"), "rank").alias("w")
     )
     open_pairs = existing.filter("status = 'PENDING'").select("tenant_id", "record_no", "candidate")
     return one.join(open_pairs, ["tenant_id", "record_no", "candidate"], "left_anti").select(
         "tenant_id",
-        F.concat_ws(":", F.col("record_no").cast("string"), F.col("candidate").cast("string")).alias("review_id"),
+        F.concat_ws(":", *(F.col(c).cast("string") for c in ("record_no", "candidate", "w.turn"))).alias("review_id"),
         "record_no", "candidate", "w.origin_type", "w.origin_value", "w.reason",
         F.lit(V.DETERMINISTIC_MATCHER).alias("matcher"),
         F.lit("1.000").cast("decimal(4,3)").alias("confidence"), F.lit("PENDING").alias("status"),
@@ -284,6 +235,21 @@ def _new_reviews(rows: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def _confirmed_lifts(confirmed: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A confirmation lifts every rule between the two guests, as they were before it; between the
+    record alone and its guest's others if both are one guest already."""
+    key = ["tenant_id", "lift_id"]
+    named = confirmed.withColumn("lift_id", F.col("decision_id"))
+    lifts = named.select(*key, F.col("decided_at").alias("at"), F.col("actor_type").alias("by_type"), F.col("actor_id").alias("by_id"))
+    merging = F.col("record_guest") != F.col("candidate")
+    m = named.filter(merging).select(*key, F.col("record_guest").alias("guest_no")).join(links, ["tenant_id", "guest_no"])
+    m = m.select(*key, "record_no").unionByName(named.filter(~merging).select(*key, "record_no"))
+    c = named.select(*key, F.col("candidate").alias("guest_no")).join(links, ["tenant_id", "guest_no"]).select(*key, "record_no")
+    c = c.join(m, [*key, "record_no"], "left_anti")
+    ends = m.withColumn("end", F.lit("M")).unionByName(c.withColumn("end", F.lit("C")))
+    return lifts, cut(ends)
+
+
 def _decide(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFrame]:
     """CONFIRM and REJECT: each review can be decided once."""
     reviews = world.reviews.select(
@@ -305,27 +271,13 @@ def _decide(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFrame
     rejected = good.filter("kind = 'REJECT'")
     merging = confirmed.filter("record_guest <> candidate")
     moved = merging.select("tenant_id", F.col("record_guest").alias("guest_no"), F.col("candidate").alias("survivor"))
-    # A confirmation lifts every rule between the two sides, as they were before it.
-    sides = rule_guests(world.rules.filter("lifted_at is null"), world.links)
-    who = confirmed.select(
-        "tenant_id", "record_no", "record_guest", "candidate", F.col("decided_at").alias("at"),
-        F.col("actor_type").alias("by_type"), F.col("actor_id").alias("by_id"),
-    )
-
-    def lifted(mine: str, mine_record: str, theirs: str) -> DataFrame:
-        hit = sides.select("tenant_id", "rule_id", F.col(mine).alias("mine"), F.col(mine_record).alias("mine_record"), F.col(theirs).alias("candidate"))
-        return hit.join(who, ["tenant_id", "candidate"]).filter(
-            "mine_record = record_no or (mine = record_guest and record_guest <> candidate)"
-        )
-
-    hits = lifted("guest_a", "record_a", "guest_b").unionByName(lifted("guest_b", "record_b", "guest_a"))
-    hits = hits.select("tenant_id", "rule_id", "at", "by_type", "by_id").dropDuplicates(["tenant_id", "rule_id"])
-    rules = lift(world.rules, hits)
+    rules, sides = lift(world.rules, world.sides, *_confirmed_lifts(confirmed, world.links))
     apart = rejected.filter("record_guest <> candidate")
     candidate_side = apart.select("tenant_id", "decision_id", F.col("candidate").alias("guest_no")).join(
         world.links, ["tenant_id", "guest_no"]
     )
-    rules = cut(rules.unionByName(separating_rules(apart, candidate_side, "REVIEW_REJECT", world.rules)))
+    made, both = separate(apart, candidate_side, "REVIEW_REJECT")
+    rules, sides = cut(rules.unionByName(made)), cut(sides.unionByName(both))
     links = cut(
         world.links.join(moved, ["tenant_id", "guest_no"], "left").select(
             "tenant_id", "record_no", F.coalesce("survivor", "guest_no").alias("guest_no")
@@ -353,36 +305,49 @@ def _decide(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFrame
         F.col("candidate"), absorbed, F.array("record_no"), F.lit(V.REVIEW_MATCHER), none,
         F.col("actor_type"), F.col("actor_id"),
     )
-    return replace(world, links=links, rules=rules, reviews=reviews_now), events, errors
+    return replace(world, links=links, rules=rules, sides=sides, reviews=reviews_now), events, errors
 
 
 def _lift_rules(world: World, asked: DataFrame) -> tuple[World, DataFrame]:
-    hits = asked.select(
-        "tenant_id", "rule_id", F.col("decided_at").alias("at"),
+    named = cut(ruling(named_pairs(asked), world.rules, world.sides))
+    stands = F.coalesce(F.col("standing") == F.col("ruled_by"), F.lit(False))
+    errors = named.filter(~stands).select(
+        "tenant_id", "decision_id", F.concat(F.lit("No active rule "), F.coalesce("rule_id", F.lit("null"))).alias("error")
+    )
+    hits = named.filter(stands).withColumn("lift_id", F.col("decision_id"))
+    lifts = hits.select(
+        "tenant_id", "lift_id", F.col("decided_at").alias("at"),
         F.col("actor_type").alias("by_type"), F.col("actor_id").alias("by_id"),
     )
-    active = world.rules.filter("lifted_at is null").select("tenant_id", "rule_id")
-    missed = asked.join(active, ["tenant_id", "rule_id"], "left_anti")
-    errors = missed.select(
-        "tenant_id", "decision_id", F.concat(F.lit("No active rule "), F.col("rule_id")).alias("error")
-    )
-    return replace(world, rules=cut(lift(world.rules, hits))), errors
+    ends = [
+        hits.select("tenant_id", "lift_id", F.col(column).alias("record_no"), F.lit(end).alias("end"))
+        for column, end in (("record_a", "M"), ("record_b", "C"))
+    ]
+    rules, sides = lift(world.rules, world.sides, lifts, ends[0].unionByName(ends[1]))
+    return replace(world, rules=cut(rules), sides=cut(sides)), errors
 
 
 def apply_decisions(world: World, decisions: DataFrame) -> tuple[World, DataFrame, DataFrame]:
-    """(world, events, errors) after all decisions.
+    """(world, events, errors) after all decisions, as if taken one by one in order of time.
 
     ``decisions``: tenant_id, decision_id, kind (UNMERGE, CONFIRM, REJECT, LIFT_RULE), guest_no,
-    record_nos, review_id, rule_id, actor_type, actor_id, claimed_type, decided_at.
+    record_nos, review_id, rule_id, actor_type, actor_id, claimed_type, decided_at. Decisions that
+    touch nothing in common are taken together (``waves.ready``), however many a tenant has. A
+    record that founds a guest anew names it by a number drawn from the order of decisions, so
+    numbers do not depend on which decisions share a wave.
     """
     spark = decisions.sparkSession
     checked = cut(check_actor(decisions))
     errors = checked.filter("error is not null").select("tenant_id", "decision_id", "error")
-    ordered = cut(waves(checked.filter("error is null").drop("error")))
+    top = world.links.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0
+    width = F.greatest(F.lit(1), F.size(F.coalesce("record_nos", F.array().cast("array<bigint>")))).cast("long")
+    accepted = checked.filter("error is null").drop("error").withColumn("width", width)
+    numbered = running_total(accepted, [], ["decided_at", "tenant_id", "decision_id"], F.col("width"), "upto")
+    waiting = cut(numbered.withColumn("at", F.col("upto") - F.col("width") + F.lit(top + 1)).drop("upto", "width"))
     events = spark.createDataFrame([], EVENT_SCHEMA)
-    last = ordered.agg(F.max("wave")).first()[0] or 0
-    for wave in range(1, last + 1):
-        now = ordered.filter(F.col("wave") == wave)
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while waiting.head(1):
+        now = cut(ready(world, waiting))
         kinds = {row[0] for row in now.select("kind").distinct().collect()}
         if "UNMERGE" in kinds:
             world, made, failed = _unmerge(world, now.filter("kind = 'UNMERGE'"))
@@ -393,4 +358,5 @@ def apply_decisions(world: World, decisions: DataFrame) -> tuple[World, DataFram
         if "LIFT_RULE" in kinds:
             world, failed = _lift_rules(world, now.filter("kind = 'LIFT_RULE'"))
             errors = errors.unionByName(failed)
+        waiting = cut(waiting.join(now.select("tenant_id", "decision_id"), ["tenant_id", "decision_id"], "left_anti").coalesce(pieces))
     return world, events, errors

@@ -9,10 +9,11 @@ from kinfold.functions import text as X
 from kinfold.operators import (
     identity, paging, reviews, rules as trust, scoring, survivorship, timeline,
 )
-from kinfold.operators.decisions import separating_rules
 from kinfold.operators.explain import explain
 from kinfold.operators.order import number_records
+from kinfold.operators.separations import rule_pairs, separate
 from kinfold.operators.settle import spanning_pairs
+from kinfold.plans import decision_queries as decided
 from kinfold.plans.resolve import fuzzy_pass, prepare, resolve
 from kinfold.plans.steward import sharing_review_cases
 from kinfold.session import configure, cut
@@ -450,12 +451,22 @@ def unmerge_rules(spark, folder):
     )
     staying = links.join(detached.select("record_no"), "record_no", "left_anti")
     remaining = detached.select("tenant_id", "decision_id", "guest_no").join(staying, ["tenant_id", "guest_no"])
-    none = spark.createDataFrame([], "tenant_id string, record_a long, record_b long, lifted_at timestamp")
-    made = separating_rules(detached, remaining, "UNMERGE", none).select("tenant_id", "record_a", "record_b")
+    made = rule_pairs(*separate(detached, remaining, "UNMERGE")).select("tenant_id", "record_a", "record_b")
     named = _founder(_founder(made, records, "record_a", "a"), records, "record_b", "b")
     return named.select("tenant_id", F.col("a").alias("record_a"), F.col("b").alias("record_b"))
 
 
+def _decided(query):
+    """A query over the orders of the feed and the guests they form."""
+
+    def run(spark, folder):
+        records = _numbered(spark, folder)
+        return query(spark, records, _links(records))
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def explain_chain(spark, folder):
     """Parts as guests, each taken over by the one of a quarter of its number."""
     parts = table(configure(spark), folder, "part").select(F.col("p_partkey").alias("guest_no"))
@@ -552,5 +563,6 @@ QUERIES = {
         fuzzy_reviews, rule_spanning_pairs, review_page, review_counts, rule_page, rule_counts,
         unmerge_rules, explain_chain, config_as_of, current_roster, timeline_current,
         timeline_ended, timeline_page, object_view, object_counts, observations_for_guests,
+        *map(_decided, decided.DECISION_QUERIES),
     )
 }

@@ -181,6 +181,16 @@ def _clustered(*more: str) -> str:
 CUSTOMER_GROUPS = """
 SELECT c_custkey, min(c_custkey) OVER (PARTITION BY floor(c_custkey / 4), c_custkey % 3) AS founder FROM customer"""
 
+# Guests dealt out by their first order, so many to a group, within blocks of 64 order numbers.
+_BESIDE = """,
+      spans AS (
+        SELECT g.tenant_id, g.guest_no, g.founder, g.guest_no AS first_no, count(*) AS size, arg_max(g.ord, g.no) AS newest
+        FROM guests g GROUP BY ALL),
+      numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY tenant_id, founder // 64 ORDER BY founder) - 1 AS n FROM spans),
+      dealt AS (
+        SELECT *, concat_ws('-', tenant_id, founder // 64, n // {width}) AS grp, n % {width} AS place FROM numbered)"""
+
 QUERIES = {
     "identifiers_extracted": _with(PEOPLE) + " SELECT tenant_id, ord, type, value FROM ids",
     "needs_review_reasons": _with(PEOPLE) + REASONS,
@@ -275,6 +285,62 @@ QUERIES = {
       sized AS (SELECT tenant_id, guest_no, max(no) AS detached FROM guests GROUP BY ALL HAVING count(*) > 1)
       SELECT g.tenant_id, a.ord AS record_b, g.ord AS record_a FROM sized s
       JOIN guests g USING (tenant_id, guest_no) JOIN people a ON a.no = s.detached WHERE g.no <> s.detached""",
+    "unmerge_applied": _clustered() + """,
+      sized AS (SELECT tenant_id, guest_no, founder, max(no) AS out_no, count(*) AS size FROM guests GROUP BY ALL HAVING count(*) > 1),
+      taken AS (SELECT s.*, p.ord FROM sized s JOIN people p ON p.no = s.out_no),
+      crowd AS (SELECT tenant_id, type, value FROM ids GROUP BY ALL HAVING count(*) > 10),
+      met AS (
+        SELECT DISTINCT t.out_no, CASE WHEN x.ord < t.ord THEN -g.no ELSE g.guest_no END AS candidate
+        FROM taken t JOIN ids i ON i.no = t.out_no
+        JOIN crowd c ON c.tenant_id = i.tenant_id AND c.type = i.type AND c.value = i.value
+        JOIN ids j ON j.tenant_id = i.tenant_id AND j.type = i.type AND j.value = i.value
+        JOIN guests g ON g.no = j.no
+        LEFT JOIN taken x ON x.out_no = j.no
+        WHERE j.no <> t.out_no AND (x.ord < t.ord OR g.guest_no <> t.guest_no)),
+      open AS (SELECT out_no, count(*) AS reviews FROM met GROUP BY out_no)
+      SELECT tenant_id, ord, founder AS left_guest, ord AS now_in, 1::BIGINT AS now_size, 'CREATE' AS replayed,
+        size - 1 AS kept_apart, coalesce(reviews, 0) AS reviews
+      FROM taken LEFT JOIN open USING (out_no)""",
+    "review_decisions_applied": _clustered() + _BESIDE.format(width=3) + """,
+      r AS (
+        SELECT a.*, a.place AS step, b.guest_no AS candidate, b.founder AS candidate_first, b.size AS candidate_size,
+          CASE WHEN a.place = 1 AND a.newest % 2 = 0 THEN 'REJECTED' ELSE 'CONFIRMED' END AS status
+        FROM dealt a JOIN dealt b ON a.grp = b.grp AND b.place = a.place + 1 AND a.place < 2),
+      m AS (SELECT guest_no, candidate FROM r WHERE status = 'CONFIRMED'),
+      home AS (
+        SELECT s.guest_no, coalesce(m2.candidate, m.candidate, s.guest_no) AS final
+        FROM spans s LEFT JOIN m ON m.guest_no = s.guest_no LEFT JOIN m m2 ON m2.guest_no = m.candidate),
+      merged AS (
+        SELECT h.final, min(s.first_no) AS no, sum(s.size)::BIGINT AS now_size
+        FROM home h JOIN spans s USING (guest_no) GROUP BY h.final)
+      SELECT r.tenant_id, r.newest AS ord, r.candidate_first, r.status, p.ord AS now_in, g.now_size,
+        CASE WHEN r.status = 'CONFIRMED' THEN 1 ELSE 0 END AS absorbed,
+        CASE WHEN r.status = 'REJECTED' THEN r.candidate_size ELSE 0 END AS kept_apart,
+        CASE WHEN r.step = 0 THEN 'Review # is already CONFIRMED' END AS error
+      FROM r JOIN home h USING (guest_no) JOIN merged g ON g.final = h.final JOIN people p ON p.no = g.no""",
+    "rule_lift": _clustered() + _BESIDE.format(width=2) + """,
+      r AS (
+        SELECT a.*, b.guest_no AS candidate, b.founder AS candidate_first
+        FROM dealt a JOIN dealt b ON a.grp = b.grp AND a.place = 0 AND b.place = 1),
+      z AS (
+        SELECT r.tenant_id, r.newest AS x, g.ord AS y,
+          r.newest % 3 = 1 OR (r.newest % 3 = 0 AND g.ord = r.candidate_first) AS lifted
+        FROM r JOIN guests g ON g.guest_no = r.candidate)
+      SELECT tenant_id, least(x, y) AS ord_a, greatest(x, y) AS ord_b, 'REVIEW_REJECT' AS origin, 'sam' AS actor_id, lifted,
+        CASE WHEN lifted THEN 'sam' END AS lifted_by
+      FROM z""",
+    "decision_errors": _clustered() + """,
+      sized AS (SELECT tenant_id, founder AS first, count(*) AS size FROM guests GROUP BY ALL),
+      told AS (
+        SELECT tenant_id, first, CASE first % 7
+          WHEN 0 THEN 'No such kind of decision: SPLIT'
+          WHEN 1 THEN 'This credential acts as HUMAN and cannot record a SYSTEM actor'
+          WHEN 2 THEN 'No source record ids given to detach'
+          WHEN 3 THEN CASE WHEN size = 1 THEN 'Guest # has a single source record — nothing to split'
+                      ELSE 'Source record # is not linked to guest #' END
+          WHEN 5 THEN 'No active rule no such rule' ELSE 'No review r#' END AS error
+        FROM sized)
+      SELECT * FROM told""",
     "explain_chain": """
       WITH RECURSIVE chain(asked, guest) AS (
         SELECT p_partkey, p_partkey FROM part

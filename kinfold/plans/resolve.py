@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from kinfold import schemas as V
 from kinfold.operators import identity, reviews, rules as trust, scoring
 from kinfold.operators.components import connected_components
-from kinfold.operators.settle import rule_guests, settle, spanning_pairs
+from kinfold.operators.separations import as_sides, crossed
+from kinfold.operators.settle import settle
 from kinfold.session import cut
 from kinfold.sources.extract import identifier_rows
 
@@ -116,12 +117,8 @@ def _contested(
         nodes = records.select("record_no", F.col("record_no").alias("guest_no"))
         if links is not None:
             nodes = nodes.unionByName(links.select("record_no", "guest_no"))
-        sides = rule_guests(rules, nodes)
-        a = sides.join(roots.withColumnsRenamed({"node": "guest_a", "root": "root_a"}), "guest_a")
-        both = a.join(roots.withColumnsRenamed({"node": "guest_b", "root": "root_b"}), "guest_b")
-        found.append(
-            both.filter("root_a = root_b and guest_a <> guest_b").select(F.col("root_a").alias("root"))
-        )
+        members = as_sides(rules).join(nodes, "record_no").join(roots.withColumnRenamed("node", "guest_no"), "guest_no")
+        found.append(crossed(members))
     if not found:
         return None
     union = found[0] if len(found) == 1 else found[0].unionByName(found[1])
@@ -139,8 +136,8 @@ def resolve(
 
     Where nothing can veto a match the order does not matter and connected components give the
     answer. Groups that hold a perfect-match identifier with differing names, or both ends of a
-    do-not-merge rule, are settled in order. ``separations`` are do-not-merge rules (tenant_id,
-    record_a, record_b, since, until), in record numbers.
+    do-not-merge rule, are settled in order. ``separations`` are the sides of do-not-merge rules
+    (tenant_id, set_id, side, record_no, since, until) or their pairs (record_a, record_b).
     """
     spark = records.sparkSession
     all_ids = _effects(identifier_rows(records, "record_no", "review_threshold"), rules)
@@ -311,11 +308,8 @@ def automatic_merges(
         return links, empty
     roots = connected_components(edges.select("a", "b"))
     if separations is not None and separations.head(1):
-        active = separations.filter("until is null")
-        apart = spanning_pairs(active, links)
-        low = apart.join(roots.withColumnsRenamed({"node": "guest_low", "root": "root"}), "guest_low")
-        high = roots.withColumnsRenamed({"node": "guest_high", "root": "other"})
-        barred = cut(low.join(high, "guest_high").filter("root = other").select("root").distinct())
+        sides = as_sides(separations).filter("until is null").join(links.select("record_no", "guest_no"), "record_no")
+        barred = cut(crossed(sides.join(roots.withColumnRenamed("node", "guest_no"), "guest_no")))
         held = roots.join(barred, "root", "left_semi").select(F.col("node").alias("guest_no"))
         parted = (
             fuzzy.members.join(held, "guest_no", "left_semi").select("tenant_id", "look").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.decisions import apply_decisions
 from kinfold.operators.explain import explain
 from kinfold.operators.rules import CONFIG_COLUMNS
+from kinfold.operators.separations import rule_pairs
 from kinfold.plans.resolve import resolve
 from kinfold.plans.steward import (
     pending_reviews, separations_of, sharing_review_cases, state_of, world_of,
@@ -142,7 +143,7 @@ def test_errors(first):
 
 def test_rules_and_events(first):
     rules = {}
-    for r in first["after"].rules.collect():
+    for r in rule_pairs(first["after"].rules, first["after"].sides).collect():
         rules.setdefault(r.tenant_id, []).append(r)
     assert {t: len(r) for t, r in rules.items()} == {
         "one-of-three": 2, "regroup": 2, "twice": 2, "reject": 1, "fresh": 1, "supersede": 1, "rejected-bridge": 1,

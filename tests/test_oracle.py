@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SHOWN = [
     "identifiers_extracted", "needs_review_reasons", "observation_dedup", "identifier_effects", "guest_clusters",
     "golden_profile", "guest_view", "fuzzy_scores", "timeline_ended", "timeline_page", "object_view", "config_as_of",
-    "review_page", "unmerge_rules",
+    "review_page", "unmerge_rules", "unmerge_applied", "review_decisions_applied", "rule_lift", "decision_errors",
 ]
 
 
