@@ -1,10 +1,11 @@
 """Append-only state in generations of parquet tables.
 
-A generation holds only what its batch added: records, identifiers, objects, the guest each
-record came to, the guests that were absorbed and the reviews it opened. Its marker is written
-last; a generation without one never happened and is overwritten by the retry. The current
-guest of a record is the one it came to, followed through the absorptions, so no batch rewrites
-the links of another.
+A generation holds only what its batch added: records, keys (identifiers and blocking keys),
+objects, the guest each record came to, the guests that were absorbed and the reviews it opened.
+Its marker is written last; a generation without one never happened and is overwritten by the
+retry. The current guest of a record is the one it came to, followed through the absorptions, so
+no batch rewrites the links of another. Batches find what they touch through the indexes of
+``sources/runs.py``: a batch's cost follows its own size, not the history's.
 """
 
 from __future__ import annotations
@@ -13,21 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.plans.resolve import PERSON_COLUMNS, Resolution, State, final_guests
 from kinfold.session import cut
-from kinfold.sources.extract import block_key_rows
+from kinfold.sources import runs
+from kinfold.sources.extract import block_key_rows, identifier_rows
+from kinfold.sources.runs import MARKER, Part, generation_folder as _folder, generations
 
-MARKER = "published"
-
-
-def _folder(root: str, generation: int) -> str:
-    return f"{root.rstrip('/')}/gen={generation:06d}"
-
-
-def generations(spark: SparkSession, root: str) -> list[int]:
-    """Published generations, oldest first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/gen=*/{MARKER}/_SUCCESS")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    names = [f.getPath().toString() for f in (files or [])]
-    return sorted(int(n.split("/gen=")[1].split("/")[0]) for n in names)
+KEY_COLUMNS = ["tenant_id", "space", "rank", "type", "value", "record_no"]
 
 
 def read(spark: SparkSession, root: str, name: str, upto: list[int] | None = None) -> DataFrame | None:
@@ -38,101 +29,120 @@ def read(spark: SparkSession, root: str, name: str, upto: list[int] | None = Non
     return spark.read.parquet(*[f"{_folder(root, g)}/{name}" for g in known])
 
 
-def published_origins(spark: SparkSession, root: str, known: list[int]) -> set[tuple[str, int]]:
+def published_origins(spark: SparkSession, parts: list[Part]) -> set[tuple[str, int]]:
     """(stream, epoch) of the published generations: small, one row a generation."""
-    if not known:
+    if not parts:
         return set()
-    markers = spark.read.schema("generation long, stream string, epoch long").parquet(
-        *[f"{_folder(root, g)}/{MARKER}" for g in known]
-    )
-    return {(r.stream, r.epoch) for r in markers.filter("stream is not null").collect()}
+    return {(r.stream, r.epoch) for r in runs.markers(spark, parts).filter("stream is not null").collect()}
 
 
 def publish(
     spark: SparkSession, root: str, generation: int, tables: dict[str, DataFrame],
-    origin: tuple[str, int] | None = None,
+    origin: tuple[str, int] | None = None, top: int = -1,
 ) -> None:
-    """Write the tables of a generation and then its marker, which names the epoch it came from."""
+    """Write the tables of a generation and then its marker, which names the epoch it came from
+    and the highest record or guest number given so far."""
     folder = _folder(root, generation)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     stream, epoch = origin or (None, None)
     spark.range(1).select(
         F.lit(generation).cast("long").alias("generation"), F.lit(stream).cast("string").alias("stream"),
-        F.lit(epoch).cast("long").alias("epoch"),
+        F.lit(epoch).cast("long").alias("epoch"), F.lit(top).cast("long").alias("top"),
     ).write.mode("overwrite").parquet(f"{folder}/{MARKER}")
 
 
 def current_links(spark: SparkSession, root: str, known: list[int]) -> DataFrame | None:
-    """(tenant_id, record_no, guest_no) as they are now.
-
-    Decisions add ``relinked`` rows to their generation; the newest placement of a record counts.
-    """
-    placed = read(spark, root, "placed", known)
-    if placed is None:
+    """(tenant_id, record_no, guest_no) of all records as they are now."""
+    if not known:
         return None
-    newest = placed.groupBy("tenant_id", "record_no").agg(
+    parts = runs.cover(spark, root, known)
+    newest = runs.whole(spark, parts, runs.BY_RECORD).groupBy("tenant_id", "record_no").agg(
         F.max_by("guest_no", "generation").alias("guest_no")
     )
-    moved = final_guests(read(spark, root, "absorbed", known))
-    return newest.join(moved, "guest_no", "left").select(
+    moves = runs.whole(spark, parts, runs.BY_ABSORBED).withColumn("at", F.lit(None).cast("long"))
+    return newest.join(final_guests(moves), "guest_no", "left").select(
         "tenant_id", "record_no", F.coalesce("survivor", "guest_no").alias("guest_no")
     )
 
 
-def load_state(spark: SparkSession, root: str, known: list[int], touched: DataFrame) -> State | None:
+def identifier_keys(identifiers: DataFrame) -> DataFrame:
+    return identifiers.withColumn("space", F.lit("I")).select(*KEY_COLUMNS)
+
+
+def key_rows(records: DataFrame) -> DataFrame:
+    """The keys that a batch asks for: its identifiers (space I) and blocking keys (space B)."""
+    blocks = block_key_rows(records, "record_no").withColumn("space", F.lit("B"))
+    return identifier_keys(identifier_rows(records, "record_no")).unionByName(blocks.select(*KEY_COLUMNS))
+
+
+def _guests_of(spark: SparkSession, parts: list[Part], records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, links) of all guests with one of the ``records``."""
+    came = cut(runs.placements(spark, parts, records))
+    living = runs.survivors(spark, parts, came).select(F.col("survivor").alias("guest_no")).distinct()
+    links = cut(runs.members(spark, parts, living))
+    people = runs.probe(spark, parts, runs.PEOPLE, links).select(*PERSON_COLUMNS)
+    return people, links
+
+
+def load_state(spark: SparkSession, parts: list[Part], keys: DataFrame) -> State | None:
     """The part of the state a batch can touch: guests that hold one of its identifiers."""
-    identifiers = read(spark, root, "identifiers", known)
-    if identifiers is None:
+    if not parts:
         return None
-    mine = identifiers.join(
-        touched.select("tenant_id", "type", "value").distinct(), ["tenant_id", "type", "value"], "left_semi"
-    )
-    links = current_links(spark, root, known)
-    guests = links.join(mine.select("record_no").distinct(), "record_no", "left_semi").select("guest_no").distinct()
-    links = cut(links.join(guests, "guest_no", "left_semi").select("tenant_id", "record_no", "guest_no"))
-    people = read(spark, root, "records", known).join(links.select("record_no"), "record_no", "left_semi")
-    return State(people.select(*PERSON_COLUMNS), mine, links)
+    held = runs.probe(spark, parts, runs.KEYS, keys.filter("space = 'I'"))
+    mine = cut(held.select("tenant_id", "rank", "type", "value", "record_no"))
+    people, links = _guests_of(spark, parts, mine)
+    return State(people, mine, links)
 
 
-def load_neighbours(
-    spark: SparkSession, root: str, known: list[int], records: DataFrame
-) -> tuple[DataFrame, DataFrame] | None:
+def load_neighbours(spark: SparkSession, parts: list[Part], keys: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(people, links) of all guests with a record in one of the batch's blocks."""
-    old = read(spark, root, "records", known)
-    if old is None:
+    if not parts:
+        return None
+    near = cut(runs.probe(spark, parts, runs.KEYS, keys.filter("space = 'B'")).select("record_no").distinct())
+    return _guests_of(spark, parts, near)
+
+
+def load_observed(spark: SparkSession, parts: list[Part], good: DataFrame) -> DataFrame | None:
+    """Stored records that an envelope of the batch repeats."""
+    return cut(runs.probe(spark, parts, runs.OBSERVED, good)) if parts else None
+
+
+def load_founders(spark: SparkSession, parts: list[Part], guests: DataFrame) -> DataFrame | None:
+    """Founding records of the given guests, in the columns of ``load_observed``."""
+    if not parts:
         return None
-    keys = ["tenant_id", "rank", "value"]
-    asked = block_key_rows(records, "record_no").select(*keys).distinct()
-    near = block_key_rows(old, "record_no").join(asked, keys, "left_semi").select("record_no").distinct()
-    links = current_links(spark, root, known)
-    guests = links.join(near, "record_no", "left_semi").select("guest_no").distinct()
-    links = cut(links.join(guests, "guest_no", "left_semi").select("tenant_id", "record_no", "guest_no"))
-    people = old.join(links.select("record_no"), "record_no", "left_semi")
-    return people.select(*PERSON_COLUMNS), links
+    asked = guests.select(F.col("guest_no").alias("record_no"))
+    return cut(runs.probe(spark, parts, runs.PEOPLE, asked).select(*runs.OBSERVED.columns))
 
 
 def scored_merges(merges: DataFrame, generation: int) -> DataFrame:
     """Merges by score as absorptions; they follow the batch, so they have no record of their own."""
     return merges.select(
         F.col("guest_no").alias("absorbed"), F.lit(None).cast("long").alias("at"), "survivor",
-        F.lit(generation).alias("generation"),
+        F.lit(generation).cast("long").alias("generation"),
     )
 
 
 def highest_number(spark: SparkSession, root: str, known: list[int]) -> int:
-    placed = read(spark, root, "placed", known)
-    return -1 if placed is None else placed.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0
+    """Highest record or guest number of all generations: the newest marker has it."""
+    if not known:
+        return -1
+    return spark.read.schema(runs.MARKER_SCHEMA).parquet(f"{_folder(root, known[-1])}/{MARKER}").first().top
 
 
-def batch_tables(result: Resolution, objects: DataFrame, cases: DataFrame, generation: int) -> dict[str, DataFrame]:
-    stamp = F.lit(generation).alias("generation")
+def batch_tables(
+    result: Resolution, keys: DataFrame, objects: DataFrame, cases: DataFrame, merges: DataFrame, generation: int
+) -> dict[str, DataFrame]:
+    stamp = F.lit(generation).cast("long").alias("generation")
+    absorbed = cut(result.absorbed.select("*", stamp).unionByName(scored_merges(merges, generation)))
     return {
         "records": result.records,
-        "identifiers": result.identifiers,
+        "keys": keys,
         "objects": objects,
         "placed": result.placed.select("*", stamp),
-        "absorbed": result.absorbed.select("*", stamp),
+        "absorbed": absorbed,
+        "moves": final_guests(absorbed).select(F.col("guest_no").alias("absorbed"), "survivor"),
         "vetoes": result.vetoes,
         "cases": cases,
     }

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinfold.plans.resolve import finish, prepare, resolve
 from kinfold.plans.steward import sharing_review_cases
 from kinfold.session import cut
-from kinfold.sources import envelope, store
+from kinfold.sources import envelope, runs, store
 from kinfold.operators import rules as trust
-from kinfold.sources.extract import identifier_rows
 
 ENVELOPE_SCHEMA = "tenant_id string, ordinal long, received_at timestamp, body string"
 
@@ -33,32 +32,54 @@ def ingest_batch(
     """
     spark = batch.sparkSession
     known = store.generations(spark, root)
-    if generation in known or (origin and origin in store.published_origins(spark, root, known)):
+    parts = runs.cover(spark, root, known)
+    if generation in known or (origin and origin in store.published_origins(spark, parts)):
         return None
     if generation is None:
         generation = max(known, default=-1) + 1
     parsed = cut(envelope.check_systems(envelope.parse(batch), registry))
-    earlier = store.read(spark, root, "records", known)
     good = parsed.filter("error is null")
-    fresh = envelope.new_observations(good, earlier)
-    start = store.highest_number(spark, root, known) + 1
+    observed = store.load_observed(spark, parts, good)
+    fresh = envelope.new_observations(good, observed)
+    top = store.highest_number(spark, root, known)
     domains = trust.masked_domains(rules) if rules is not None else None
     records = cut(
-        prepare(envelope.accepted_records(fresh, F.col("received_at"), start, domains), config)
+        prepare(envelope.accepted_records(fresh, F.col("received_at"), top + 1, domains), config)
     )
-    state = store.load_state(spark, root, known, identifier_rows(records, "record_no"))
+    keys = cut(store.key_rows(records))
+    state = store.load_state(spark, parts, keys)
     result = resolve(records, rules, separations, state)
     cases, _ = sharing_review_cases(result, state)
-    neighbours = store.load_neighbours(spark, root, known, records)
+    neighbours = store.load_neighbours(spark, parts, keys)
     done = finish(result, cases, rules, separations, neighbours)
-    tables = store.batch_tables(result, envelope.object_rows(records), cases, generation)
-    tables["absorbed"] = tables["absorbed"].unionByName(store.scored_merges(done.merges, generation))
+    # Identifiers that a rule silences are asked for, but never found again.
+    kept = keys.filter("space = 'B'").unionByName(store.identifier_keys(result.identifiers))
+    tables = store.batch_tables(result, kept, envelope.object_rows(records), cases, done.merges, generation)
     tables["opened"] = done.opened
-    report = cut(envelope.outcome_report(parsed, records, result.placed, done.links, done.opened, earlier))
-    store.publish(spark, root, generation, {**tables, "report": report}, origin)
+    links, earlier = done.links, None
+    if observed is not None:
+        links, earlier = _repeated(spark, parts, observed, links, tables["moves"])
+    report = cut(envelope.outcome_report(parsed, records, result.placed, links, done.opened, earlier))
+    given = records.agg(F.max("record_no")).first()[0]
+    store.publish(spark, root, generation, {**tables, "report": report}, origin, max(top, given if given is not None else -1))
+    runs.compact(spark, root, store.generations(spark, root))
     return report
 
 
+def _repeated(
+    spark: SparkSession, parts: list[runs.Part], observed: DataFrame, links: DataFrame, moves: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(links, earlier) for the report: repeated records under the guests they have after the batch,
+    and these guests' founders, wherever in the history they lie."""
+    came = cut(runs.placements(spark, parts, observed))
+    living = came.join(runs.survivors(spark, parts, came), "guest_no").drop("guest_no")
+    after = living.join(moves.select(F.col("absorbed").alias("survivor"), F.col("survivor").alias("next")), "survivor", "left")
+    after = after.select("tenant_id", "record_no", F.coalesce("next", "survivor").alias("guest_no"))
+    links = cut(links.unionByName(after.join(links.select("record_no"), "record_no", "left_anti").select(*links.columns)))
+    founders = store.load_founders(spark, parts, links.select("guest_no").distinct())
+    return links, observed.unionByName(founders.join(observed.select("record_no"), "record_no", "left_anti"))
+
+
 def start_ingest(
     source: DataFrame,
     root: str,
@@ -91,8 +112,3 @@ def envelope_stream(spark: SparkSession, folder: str, files_per_batch: int = 1)
         spark.readStream.schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
     )
 
-
-def touched_rosters(batch_objects: DataFrame, all_objects: DataFrame) -> DataFrame:
-    """Objects a batch speaks of with all their observations: what to recompute after it."""
-    keys = ["tenant_id", "source_system", "object_type", "object_id"]
-    return all_objects.join(batch_objects.select(*keys).distinct(), keys, "left_semi")

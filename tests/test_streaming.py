@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from kinfold.operators.order import number_records
-from kinfold.sources import store
+from kinfold.sources import runs, store
 from kinfold.streaming.ingest import ENVELOPE_SCHEMA, envelope_stream, ingest_batch, start_ingest
 
 PERSON = {"firstName": "Anna", "lastName": "Muster"}
@@ -28,7 +28,9 @@ def guests(spark, root):
     return {(r.tenant_id, frozenset(r.k)) for r in rows}
 
 
-def test_stream_equals_batch_and_replay_is_a_no_op(spark):
+def test_stream_equals_batch_and_replay_is_a_no_op(spark, monkeypatch):
+    monkeypatch.setattr(runs, "FAN", 2)
+    monkeypatch.setattr(runs, "BUCKETS", 3)
     work = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     registry = spark.createDataFrame([("t", "pms"), ("u", "pms")], "tenant_id string, code string")
     batches = [
@@ -51,6 +53,7 @@ def test_stream_equals_batch_and_replay_is_a_no_op(spark):
     assert query.exception() is None
     streamed = guests(spark, f"{work}/state")
     assert streamed == {("t", frozenset("abcd")), ("u", frozenset("a"))}
+    assert [p.level for p in runs.cover(spark, f"{work}/state", [0, 1, 2])] == [1, 0]
     report = store.read(spark, f"{work}/state", "report").orderBy("ordinal").collect()
     assert [r.status for r in report] == [
         "CREATED_GUEST", "CREATED_GUEST", "CREATED_GUEST", "MERGED", "DUPLICATE_IGNORED", "ERROR", "ERROR",
