@@ -81,7 +81,7 @@ def observation_dedup(spark, folder):
 
 
 def block_keys(spark, folder):
-    return block_key_rows(_people(spark, folder), "ord", phonetic=False).drop("rank")
+    return block_key_rows(_people(spark, folder), "ord").drop("rank")
 
 
 def block_keys_phonetic(spark, folder):
@@ -337,7 +337,7 @@ def records_of_guest(spark, folder):
 
 
 def _unlinked_scores(spark, folder, auto: str, floor: str):
-    """Scores between records that are each their own guest, without the phonetic key."""
+    """Scores between records that are each their own guest, through all five blocking keys."""
     records = _numbered(spark, folder).withColumns(
         {
             "auto_merge_threshold": F.lit(auto).cast("decimal(4,3)"),
@@ -346,7 +346,7 @@ def _unlinked_scores(spark, folder, auto: str, floor: str):
         }
     )
     looks, holders, members = (cut(part) for part in scoring.sides(records))
-    pairs = scoring.candidate_pairs(looks, holders, members, phonetic=False)
+    pairs = scoring.candidate_pairs(looks, holders, members)
     scored = scoring.score_pairs(cut(pairs), looks, holders).filter("band <> 'DISCARD'")
     of_look = members.join(records.select("record_no", "ord"), "record_no").groupBy("tenant_id", "look").agg(
         F.min("ord").alias("look_ord")

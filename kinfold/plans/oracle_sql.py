@@ -68,9 +68,26 @@ best AS (
   SELECT tenant_id, founder, field, value, masked FROM fields WHERE trim(value) <> ''
   QUALIFY row_number() OVER (PARTITION BY tenant_id, founder, field ORDER BY masked, record_timestamp DESC, no DESC) = 1)"""
 
+# The primary double-metaphone codes of all last names in the feed, folded.
+PHONETIC_CODES = """
+muller=MLR mueller=MLR schmidtson=XMTS schmidtard=XMTR schmidtini=XMTN schmidtova=XMTF schmidtsen=XMTS
+schmidtez=XMTS schmidtak=XMTK schmidtulu=XMTL schmidtham=XMTM schmidtton=XMTT rothson=R0SN rothard=R0RT
+rothini=R0N rothova=R0F rothsen=R0SN rothez=R0S rothak=R0K rothulu=R0L rothham=R0M rothton=R0TN ottson=ATSN
+ottard=ATRT ottini=ATN ottova=ATF ottsen=ATSN ottez=ATS ottak=ATK ottulu=ATL ottham=A0M ottton=ATTN
+meierson=MRSN meierard=MRRT meierini=MRN meierova=MRF meiersen=MRSN meierez=MRS meierak=MRK meierulu=MRL
+meierham=MRM meierton=MRTN musterson=MSTR musterard=MSTR musterini=MSTR musterova=MSTR mustersen=MSTR
+musterez=MSTR musterak=MSTR musterulu=MSTR musterham=MSTR musterton=MSTR millerson=MLRS millerard=MLRR
+millerini=MLRN millerova=MLRF millersen=MLRS millerez=MLRS millerak=MLRK millerulu=MLRL millerham=MLRM
+millerton=MLRT kellerson=KLRS kellerard=KLRR kellerini=KLRN kellerova=KLRF kellersen=KLRS kellerez=KLRS
+kellerak=KLRK kellerulu=KLRL kellerham=KLRM kellerton=KLRT weberson=APRS weberard=APRR weberini=APRN
+weberova=APRF webersen=APRS weberez=APRS weberak=APRK weberulu=APRL weberham=APRM weberton=APRT
+"""
+_CODES = ", ".join("('{}', '{}')".format(*pair.split("=")) for pair in PHONETIC_CODES.split())
+CODES = f"codes AS (SELECT * FROM (VALUES {_CODES}) v(name, code))"
+
 # The name similarity is spelt out: half a transposition counts as a half, where the built-in
 # function of the engine that runs this text rounds it away.
-LOOKS = """
+LOOKS = CODES + """,
 facts AS (
   SELECT *, lower(strip_accents(trim(firstName))) AS f, lower(strip_accents(trim(lastName))) AS l,
     right(regexp_replace(coalesce(phone_norm, phone), '[^0-9]', '', 'g'), 7) AS p7,
@@ -84,7 +101,8 @@ alike AS (
   FROM facts GROUP BY ALL),
 looks AS (SELECT *, row_number() OVER () AS look FROM alike),
 blocks AS (
-  SELECT look, 1 AS rank, concat(least(left(f, 1), left(l, 1)), greatest(left(f, 1), left(l, 1)), ':', strftime(birth_date, '%Y-%m-%d')) AS value FROM looks WHERE birth_date IS NOT NULL
+  SELECT look, 0 AS rank, concat(code, ':', cast(year(birth_date) AS varchar(4))) AS value FROM looks JOIN codes ON name = l WHERE birth_date IS NOT NULL
+  UNION ALL SELECT look, 1, concat(least(left(f, 1), left(l, 1)), greatest(left(f, 1), left(l, 1)), ':', strftime(birth_date, '%Y-%m-%d')) FROM looks WHERE birth_date IS NOT NULL
   UNION ALL SELECT look, 2, right(phone_norm, 7) FROM looks WHERE phone_norm IS NOT NULL
   UNION ALL SELECT look, 3, split_part(real_norm, '@', 1) FROM looks WHERE real_norm IS NOT NULL
   UNION ALL SELECT look, 4, alias FROM looks WHERE alias IS NOT NULL),
@@ -141,6 +159,10 @@ scored AS (
     CAST(round(least(total / weight * (0.85 + 0.15::double * weight) * CASE WHEN birth = 0 THEN 0.4 ELSE 1 END, 0.999), 3) AS decimal(4,3)) AS score
   FROM weighed)"""
 
+PHONETIC_KEYS = """
+      SELECT tenant_id, ord, 'NAME_PHONETIC_BIRTHYEAR' AS type, concat(code, ':', cast(year(birth_date) AS varchar(4))) AS value
+      FROM people JOIN codes ON name = lower(strip_accents(trim(lastName))) WHERE birth_date IS NOT NULL"""
+
 OBJECTS = f"""obs AS ({OBJECT_FEED_SQL})"""
 
 ASSOCIATIONS = OBJECTS + """,
@@ -238,14 +260,24 @@ QUERIES = {
     "records_of_guest": _clustered() + """
       SELECT g.tenant_id, g.founder, p.external_key, p.source_system, p.record_timestamp
       FROM people p JOIN guests g USING (ord)""",
-    "block_keys": _with(PEOPLE) + """
-      SELECT tenant_id, ord, 'NAME_INITIALS_BIRTHDATE' AS type,
+    "block_keys_phonetic": _with(PEOPLE, CODES) + PHONETIC_KEYS,
+    "block_keys": _with(PEOPLE, CODES) + PHONETIC_KEYS + """
+      UNION ALL SELECT tenant_id, ord, 'NAME_INITIALS_BIRTHDATE' AS type,
         concat(least(lower(strip_accents(left(firstName, 1))), lower(strip_accents(left(lastName, 1)))),
                greatest(lower(strip_accents(left(firstName, 1))), lower(strip_accents(left(lastName, 1)))), ':', strftime(birth_date, '%Y-%m-%d')) AS value
       FROM people WHERE birth_date IS NOT NULL
       UNION ALL SELECT tenant_id, ord, 'PHONE_SUFFIX7', right(phone_norm, 7) FROM people WHERE phone_norm IS NOT NULL
       UNION ALL SELECT tenant_id, ord, 'EMAIL_LOCALPART', split_part(email_norm, '@', 1) FROM people WHERE email_norm IS NOT NULL AND NOT masked
       UNION ALL SELECT tenant_id, ord, 'EMAIL_MASKED', email_norm FROM people WHERE masked""",
+    "guest_profiles": _clustered() + """
+      SELECT g.tenant_id, g.founder, count(*) AS records,
+        arg_max(firstName, p.no) FILTER (WHERE trim(firstName) <> '') AS firstName,
+        arg_max(lastName, p.no) FILTER (WHERE trim(lastName) <> '') AS lastName,
+        arg_max(coalesce(strftime(birth_date, '%Y-%m-%d'), birthdate), p.no) FILTER (WHERE trim(birthdate) <> '') AS birth_iso,
+        arg_max(coalesce(phone_norm, phone), p.no) FILTER (WHERE trim(phone) <> '') AS phone_kept,
+        arg_max(coalesce(email_norm, email), p.no) FILTER (WHERE trim(email) <> '' AND NOT masked) AS real_email,
+        CAST(NULL AS varchar) AS city
+      FROM people p JOIN guests g USING (ord) GROUP BY g.tenant_id, g.founder""",
     "fuzzy_scores": _with(PEOPLE, LOOKS, recursive=True) + """
       SELECT tenant_id, look_ord, holder_ord, rank, score FROM scored WHERE score >= 0.75""",
     "fuzzy_bands": _with(PEOPLE, LOOKS, recursive=True) + """

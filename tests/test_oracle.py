@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from kinfold.plans import oracle_sql
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # Quick enough to compare in every run; the driver compares them all.
 SHOWN = [
     "identifiers_extracted", "needs_review_reasons", "observation_dedup", "identifier_effects", "guest_clusters",
     "golden_profile", "guest_view", "fuzzy_scores", "timeline_ended", "timeline_page", "object_view", "config_as_of",
-    "review_page", "unmerge_rules", "unmerge_applied", "review_decisions_applied", "rule_lift", "decision_errors",
+    "review_page", "unmerge_rules", "block_keys", "guest_profiles", "unmerge_applied", "review_decisions_applied", "rule_lift", "decision_errors",
 ]
 
 
@@ -40,6 +41,13 @@ def test_same_rows(spark, engine, sf_small, name):
     assert got == expected
 
 
+def test_phonetic_codes_are_the_library_s(spark):
+    """The codes that the SQL twins take as fixed values, against the library that Spark ships."""
+    coder = spark._jvm.org.apache.commons.codec.language.DoubleMetaphone()
+    pairs = [pair.split("=") for pair in oracle_sql.PHONETIC_CODES.split()]
+    assert len(pairs) == 82 and all(coder.doubleMetaphone(name) == code for name, code in pairs)
+
+
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
