@@ -327,19 +327,23 @@ def _lift_rules(world: World, asked: DataFrame) -> tuple[World, DataFrame]:
     return replace(world, rules=cut(rules), sides=cut(sides)), errors
 
 
-def apply_decisions(world: World, decisions: DataFrame) -> tuple[World, DataFrame, DataFrame]:
+def apply_decisions(
+    world: World, decisions: DataFrame, top: int | None = None
+) -> tuple[World, DataFrame, DataFrame]:
     """(world, events, errors) after all decisions, as if taken one by one in order of time.
 
     ``decisions``: tenant_id, decision_id, kind (UNMERGE, CONFIRM, REJECT, LIFT_RULE), guest_no,
     record_nos, review_id, rule_id, actor_type, actor_id, claimed_type, decided_at. Decisions that
     touch nothing in common are taken together (``waves.ready``), however many a tenant has. A
     record that founds a guest anew names it by a number drawn from the order of decisions, so
-    numbers do not depend on which decisions share a wave.
+    numbers do not depend on which decisions share a wave. ``top`` is the highest number in use,
+    where the world is only a part of the state.
     """
     spark = decisions.sparkSession
     checked = cut(check_actor(decisions))
     errors = checked.filter("error is not null").select("tenant_id", "decision_id", "error")
-    top = world.links.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0
+    if top is None:
+        top = world.links.agg(F.max(F.greatest("record_no", "guest_no"))).first()[0] or 0
     width = F.greatest(F.lit(1), F.size(F.coalesce("record_nos", F.array().cast("array<bigint>")))).cast("long")
     accepted = checked.filter("error is null").drop("error").withColumn("width", width)
     numbered = running_total(accepted, [], ["decided_at", "tenant_id", "decision_id"], F.col("width"), "upto")

@@ -56,9 +56,9 @@ def run_folder(root: str, level: int, start: int) -> str:
     return f"{root.rstrip('/')}/runs/level={level}/from={start:06d}"
 
 
-def marked(spark: SparkSession, pattern: str) -> list[str]:
-    """Folders that carry a finished marker, by a pattern of their paths."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/{MARKER}/_SUCCESS")
+def marked(spark: SparkSession, pattern: str, name: str = MARKER) -> list[str]:
+    """Folders, by a pattern of their paths, that hold a finished table; the marker if none is named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/{name}/_SUCCESS")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return [str(f.getPath().getParent().getParent()) for f in (files or [])]
 
@@ -108,8 +108,11 @@ def _bucket(index: Index) -> Column:
     return F.pmod(F.xxhash64(*index.key), F.lit(BUCKETS)).cast("int")
 
 
-def _rows(spark: SparkSession, part: Part, index: Index, buckets: list[int] | None = None) -> DataFrame:
+def _rows(spark: SparkSession, part: Part, index: Index, buckets: list[int] | None = None) -> DataFrame | None:
+    """A part's rows; a generation of decisions has no new records and keys."""
     if part.level == 0:
+        if not marked(spark, part.folder, index.source):
+            return None
         df = spark.read.parquet(f"{part.folder}/{index.source}")
         return df.select(*index.columns) if index.columns else df
     df = spark.read.parquet(f"{part.folder}/{index.name}")
@@ -123,7 +126,8 @@ def whole(spark: SparkSession, parts: list[Part], index: Index) -> DataFrame:
     return _union([_rows(spark, part, index) for part in parts])
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
+def _union(tables: list[DataFrame | None]) -> DataFrame:
+    tables = [table for table in tables if table is not None]
     found = tables[0]
     for table in tables[1:]:
         found = found.unionByName(table, allowMissingColumns=True)
@@ -165,9 +169,13 @@ def compact(spark: SparkSession, root: str, known: list[int]) -> list[str]:
             moves = cut(moves.distinct())
             for index in INDEXES:
                 rows = moves if index.source == "moves" else whole(spark, parts, index)
-                rows.withColumn("bucket", _bucket(index)).repartition(BUCKETS, "bucket").sortWithinPartitions(
-                    "bucket", *index.key
-                ).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{index.name}")
+                dealt = rows.withColumn("bucket", _bucket(index))
+                if rows.isEmpty():
+                    # Without a bucket there would be no file to tell the columns.
+                    writer = dealt.coalesce(1).write
+                else:
+                    writer = dealt.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", *index.key).write.partitionBy("bucket")
+                writer.mode("overwrite").parquet(f"{folder}/{index.name}")
             markers(spark, parts).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MARKER}")
             written.append(folder)
         level += 1

@@ -29,6 +29,16 @@ def read(spark: SparkSession, root: str, name: str, upto: list[int] | None = Non
     return spark.read.parquet(*[f"{_folder(root, g)}/{name}" for g in known])
 
 
+def read_any(spark: SparkSession, root: str, name: str, known: list[int], schema: str) -> DataFrame:
+    """A table that only some generations have, empty while none has it."""
+    wanted = {_folder(root, g) for g in known}
+    have = [f for f in runs.marked(spark, f"{root.rstrip('/')}/gen=*", name) if f"{root.rstrip('/')}/{f.rsplit('/', 1)[1]}" in wanted]
+    if not have:
+        return spark.createDataFrame([], schema)
+    columns = spark.createDataFrame([], schema).columns
+    return spark.read.parquet(*[f"{f}/{name}" for f in have]).select(*columns)
+
+
 def published_origins(spark: SparkSession, parts: list[Part]) -> set[tuple[str, int]]:
     """(stream, epoch) of the published generations: small, one row a generation."""
     if not parts:
@@ -76,13 +86,16 @@ def key_rows(records: DataFrame) -> DataFrame:
     return identifier_keys(identifier_rows(records, "record_no")).unionByName(blocks.select(*KEY_COLUMNS))
 
 
+def people_of(spark: SparkSession, parts: list[Part], living: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, links) of the living guests (guest_no)."""
+    links = cut(runs.members(spark, parts, living))
+    return runs.probe(spark, parts, runs.PEOPLE, links).select(*PERSON_COLUMNS), links
+
+
 def _guests_of(spark: SparkSession, parts: list[Part], records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(people, links) of all guests with one of the ``records``."""
     came = cut(runs.placements(spark, parts, records))
-    living = runs.survivors(spark, parts, came).select(F.col("survivor").alias("guest_no")).distinct()
-    links = cut(runs.members(spark, parts, living))
-    people = runs.probe(spark, parts, runs.PEOPLE, links).select(*PERSON_COLUMNS)
-    return people, links
+    return people_of(spark, parts, runs.survivors(spark, parts, came).select(F.col("survivor").alias("guest_no")))
 
 
 def load_state(spark: SparkSession, parts: list[Part], keys: DataFrame) -> State | None:

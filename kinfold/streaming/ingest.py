@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinfold.plans.resolve import finish, prepare, resolve
 from kinfold.plans.steward import sharing_review_cases
 from kinfold.session import cut
-from kinfold.sources import envelope, runs, store
+from kinfold.sources import envelope, runs, stewardship, store
 from kinfold.operators import rules as trust
+from kinfold.operators.separations import as_sides
 
 ENVELOPE_SCHEMA = "tenant_id string, ordinal long, received_at timestamp, body string"
 
@@ -48,6 +49,9 @@ def ingest_batch(
     )
     keys = cut(store.key_rows(records))
     state = store.load_state(spark, parts, keys)
+    decided = stewardship.separations(spark, root, known)
+    if decided is not None:
+        separations = decided if separations is None else decided.unionByName(as_sides(separations).select(*decided.columns))
     result = resolve(records, rules, separations, state)
     cases, _ = sharing_review_cases(result, state)
     neighbours = store.load_neighbours(spark, parts, keys)
@@ -55,7 +59,7 @@ def ingest_batch(
     # Identifiers that a rule silences are asked for, but never found again.
     kept = keys.filter("space = 'B'").unionByName(store.identifier_keys(result.identifiers))
     tables = store.batch_tables(result, kept, envelope.object_rows(records), cases, done.merges, generation)
-    tables["opened"] = done.opened
+    tables |= {"opened": done.opened, **stewardship.fuzzy_tables(done, records)}
     links, earlier = done.links, None
     if observed is not None:
         links, earlier = _repeated(spark, parts, observed, links, tables["moves"])
