@@ -185,10 +185,6 @@ def ordering_key(system: Column, kind: Column, role: Column, object_id: Column)
     return F.concat_ws("\x1f", system, kind, role, object_id)
 
 
-def effective_time(record_timestamp: Column, received_at: Column) -> Column:
-    return F.coalesce(record_timestamp, received_at)
-
-
 def score3(c: Column) -> Column:
     """Half-up rounding to three places, as the score column is stored."""
     return F.round(c, 3).cast("decimal(4,3)")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.operators.components import connected_components
-from kinfold.operators.order import ORDERED_GROUP_ROWS, running_total
 from kinfold.session import cut
 
 IDENTIFIER = ["tenant_id", "type", "value"]
@@ -23,13 +22,6 @@ def sharing_counts(identifiers: DataFrame) -> DataFrame:
     )
 
 
-def carrier_ranks(identifiers: DataFrame, group_rows: int = ORDERED_GROUP_ROWS) -> DataFrame:
-    """How many records carried the identifier when this one arrived, itself included."""
-    return running_total(
-        identifiers, IDENTIFIER, ["record_no"], F.lit(1), "sharing", group_rows
-    )
-
-
 def first_carriers(identifiers: DataFrame, highest_threshold: int) -> DataFrame:
     """The carriers that can still match: at most ``highest_threshold`` per identifier.
 

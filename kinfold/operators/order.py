@@ -69,9 +69,3 @@ def running_total(
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_value", "_slice", "_local", "_offset")
     )
-
-
-def first_of_group(df: DataFrame, keys: list[str], order: Column, *kept: str) -> DataFrame:
-    """The row with the smallest ``order`` per group, by partial aggregation instead of a sort."""
-    chosen = F.min_by(F.struct(*kept), order).alias("_row")
-    return df.groupBy(*keys).agg(chosen).select(*keys, "_row.*")

@@ -52,8 +52,3 @@ SOURCE_CODE_PATTERN = "^[a-z0-9][a-z0-9-]*$"
 # Ranks that put values in vocabulary order; the order decides which match or key comes first.
 # Documents are extracted after external keys, but guest identifiers sort by this vocabulary.
 IDENTIFIER_EXTRACTION_ORDER = ["EMAIL", "PHONE", "LOYALTY_ID", "EXTERNAL_KEY", "ID_DOCUMENT"]
-
-PERSON_FIELDS = [
-    "firstName", "lastName", "birthdate", "email", "phone", "loyaltyId", "externalGuestId",
-    "city",
-]
