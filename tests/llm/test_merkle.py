@@ -65,7 +65,7 @@ def rows_of(n):
     ]
 
 
-@pytest.mark.parametrize("n,fanout", [(400, 3), (7, 2)])
+@pytest.mark.parametrize("n,fanout", [(150, 3), (7, 2)])
 def test_manifest(spark, n, fanout):
     rows = rows_of(n)
     found = M.manifest(frame(spark, rows), fanout=fanout)
@@ -107,6 +107,6 @@ def test_query(spark, sf_small):
 
 
 def test_query_on_hard_rows(spark, tmp_path):
-    frame(spark, rows_of(300)).drop("leaf", "tree").write.parquet(str(tmp_path / "documents.parquet"))
-    assert same_as_sql(spark, "op13_merkle_manifest", tmp_path) == 300
-    assert same_as_sql(spark, "op11_hilbert_sharding", tmp_path) == 300
+    frame(spark, rows_of(120)).drop("leaf", "tree").write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_as_sql(spark, "op13_merkle_manifest", tmp_path) == 120
+    assert same_as_sql(spark, "op11_hilbert_sharding", tmp_path) == 120
