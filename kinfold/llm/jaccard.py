@@ -1,9 +1,10 @@
 """N-gram Jaccard join of whole texts, as components, by a grouped prefix join.
 
 1. Each text becomes its set of distinct shingles. Documents with the same set are one class.
-2. Shingles are ordered rarest first, by counts in a sketch of fixed size; ties and errors of the
-   sketch do no harm, since any order that all sets share is exact. Two sets can only reach the
-   similarity if their prefixes (the first n - ceil(t n) + 1 shingles) meet.
+2. Shingles are ordered rarest first, by counters that grow in number with the bytes of the corpus
+   and lie in slices over the tasks: blocks of texts ask, slices add up and answer. Two sets can
+   only reach the similarity if their prefixes (the first n - ceil(t n) + 1 shingles) meet; any
+   order that all sets share is exact. A shingle whose counter only one set uses meets nobody.
 3. Classes of the same size and the same prefix are one group, and only groups are joined: by a
    shared prefix shingle, the size bound, and the bound on what can still overlap after it.
 4. Group pairs are expanded to their members, and every pair is verified on the texts.
@@ -22,75 +23,133 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.llm.shingles import digest, groups, shingle_sets
 from kinfold.operators.components import connected_components
 from kinfold.session import cut
 
-# Counters of the frequency sketch, and slices in which tasks hand them on.
-SKETCH_BITS = 20
-SKETCH_SLICES = 64
+# Counters of one slice of the frequency table, and bytes of text for which there is one slice: at
+# six bytes a word a counter stands for a sixth of a shingle, however large the corpus.
+SLICE_BITS = 24
+SLICE_BYTES = 1 << 24
+# Shingles that a block asks of a slice at least, on average, so that rows stay worth their keys.
+ASKED = 64
 
+_MEASURED = pa.schema(
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
+     ("block", pa.int64()), ("slice", pa.int64()), ("size", pa.int32()), ("data", pa.binary())]
+)
+_DOCUMENT, _BLOCK, _REQUEST = range(3)
 
-def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """A row (doc_id, n, d1, d2) per document, and slices (slice, counts) of each task's sketch."""
-    width = 1 << SKETCH_BITS
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-         ("slice", pa.int32()), ("counts", pa.binary())]
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 byte plane by byte plane, compressed: small ones take little."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * count, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _rows(**columns: object) -> pa.RecordBatch:
+    """A batch of ``_MEASURED`` with the given columns, the rest null."""
+    size = len(columns["kind"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _MEASURED],
+        schema=_MEASURED,
     )
 
+
+def _slices(docs: DataFrame) -> int:
+    """Slices of the frequency table: a power of two that grows with the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return 1 << (max(1, -(-size // SLICE_BYTES)) - 1).bit_length()
+
+
+def _slots(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The counter of every hash: slices follow each other in the order of hashes."""
+    return hashes >> np.uint64(64 - SLICE_BITS - slices.bit_length() + 1)
+
+
+def _measure(docs: DataFrame, words: int, least: int | None, slices: int) -> DataFrame:
+    """Rows of three kinds.
+
+    A document has (doc_id, n, d1, d2). A block holds texts of at least ``least`` shingles in a
+    row, once if their sets agree; it asks each slice in a row how often its counters are used.
+    """
+
+    def block_rows(block: int, held: dict) -> Iterator[pa.RecordBatch]:
+        columns = zip(*((i, *key, text) for key, (i, text, _) in held.items()), strict=True)
+        table = pa.table(dict(zip(("doc_id", "n", "d1", "d2", "text"), map(list, columns), strict=True)))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        yield _rows(kind=[_BLOCK], block=[block], data=[sink.getvalue().to_pybytes()])
+        asked, times = np.unique(np.concatenate([s for _, _, s in held.values()]), return_counts=True)
+        numbers = (asked >> np.uint64(SLICE_BITS)).astype(np.int64)
+        names, starts = np.unique(numbers, return_index=True)
+        parts = [
+            (_pack(np.concatenate([np.diff(own & np.uint64((1 << SLICE_BITS) - 1), prepend=np.uint64(0)), many])), len(own))
+            for own, many in zip(np.split(asked, starts[1:]), np.split(times.astype(np.uint64), starts[1:]), strict=True)
+        ]
+        data, size = zip(*parts, strict=True)
+        yield _rows(kind=[_REQUEST] * len(names), block=[block] * len(names), slice=names, size=size, data=data)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(width, np.int64)
+        block = TaskContext.get().partitionId() << 32
+        held: dict[tuple, tuple] = {}
+        asked = 0
         for batch in batches:
-            rows: list[tuple] = []
-            texts = (v.as_py() for v in batch.column(1))
-            for group in groups(texts):
+            ids = iter(batch.column(0).to_pylist())
+            for group in groups(v.as_py() for v in batch.column(1)):
                 sets = shingle_sets(group, words)
-                rows += [(len(s), *digest(s)) for s in sets]
-                seen += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=width)
-            if rows:
-                n, d1, d2 = zip(*rows, strict=True)
-                none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                     pa.array(d2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-                    schema=schema,
-                )
-        if seen.any():
-            parts = np.split(seen, SKETCH_SLICES)
-            none = pa.nulls(SKETCH_SLICES).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(range(SKETCH_SLICES), pa.int32()),
-                 pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())],
-                schema=schema,
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, slice int, counts binary")
-
-
-def _sketch(measured: DataFrame) -> np.ndarray:
-    """All tasks' counters added up, slice by slice; the sum has a fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, counts in zip(batch.column(0), batch.column(1), strict=True):
-                part = np.frombuffer(counts.as_py(), "<i8")
-                key = number.as_py()
-                sums[key] = sums[key] + part if key in sums else part.copy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-            ["slice", "counts"],
-        )
+                keys = [(len(s), *digest(s)) for s in sets]
+                own = [next(ids) for _ in group]
+                n, d1, d2 = zip(*keys, strict=True)
+                yield _rows(kind=[_DOCUMENT] * len(own), doc_id=own, n=n, d1=d1, d2=d2)
+                for i, text, key, s in zip(own, group, keys, sets, strict=True):
+                    if i is None or least is None or len(s) < least:
+                        continue
+                    first = held.get(key)
+                    if first is None:
+                        asked += len(s)
+                        held[key] = (i, text, _slots(s, slices))
+                    elif i < first[0]:
+                        held[key] = (i, text, first[2])
+                if held and asked >= ASKED * slices:
+                    yield from block_rows(block, held)
+                    block, held, asked = block + 1, {}, 0
+        if held:
+            yield from block_rows(block, held)
+
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, block long, slice long, size int, data binary")
+
+
+def _answers(measured: DataFrame) -> DataFrame:
+    """(block, slice, size, data): for every request how many documents use each counter.
+
+    A slice has a fixed number of counters and gets each block once. Numbers beyond 2**15 are
+    handed on by their logarithm; they stay in order.
+    """
 
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    width = len(total) // SKETCH_SLICES
-    slices = measured.filter("slice is not null").select("slice", "counts")
-    for number, counts in slices.repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        total[number * width : (number + 1) * width] += np.frombuffer(counts, "<i8")
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
+    def count(asked: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << SLICE_BITS, np.int64)
+        slots = []
+        for size, data in zip(asked["size"].to_pylist(), asked["data"], strict=True):
+            deltas, times = np.split(_unpack(data.as_py(), 2 * size), 2)
+            slots.append(np.cumsum(deltas, dtype=np.int64))
+            counts[slots[-1]] += times
+        large = counts >= 1 << 15
+        counts[large] = (1 << 15) + (1024 * (np.log2(counts[large]) - 15)).astype(np.int64)
+        data = pa.array([_pack(counts[s]) for s in slots], pa.binary())
+        return asked.select(["block", "slice", "size"]).append_column("data", data)
+
+    requests = measured.filter(F.col("kind") == _REQUEST).select("block", "slice", "size", "data")
+    return requests.groupBy("slice").applyInArrow(count, "block long, slice long, size int, data binary")
 
 
 def _bitmap(tokens: np.ndarray) -> list[int]:
@@ -111,36 +170,41 @@ def _can_share(num: int, den: int) -> Column:
     return (num + den) * (both + rest) >= num * (F.col("n") + F.col("n_"))
 
 
-def _prefixes(docs: DataFrame, words: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, d1, tokens, p1, p2, bits): the prefix of every set that can link to another one."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-    least = -(-num // (den - num)) if den > num else None
+def _prefixes(measured: DataFrame, words: int, num: int, den: int, slices: int) -> DataFrame:
+    """(doc_id, n, d1, d2, size, places, tokens, p1, p2, bits): prefixes of sets that can link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
-        for batch in batches:
-            row = 0
-            for group in groups(v.as_py() for v in batch.column(1)):
-                kept: list[int] = []
-                found: list[tuple] = []
-                for at, s in enumerate(shingle_sets(group, words)):
-                    if least is not None and len(s) >= least:
-                        order = np.lexsort((s, counts[s >> np.uint64(64 - SKETCH_BITS)]))
-                        tokens = s[order[: len(s) + num * len(s) // -den + 1]]
-                        kept.append(row + at)
-                        found.append((len(s), digest(s)[0], tokens.astype(np.int64), *digest(tokens)))
-                row += len(group)
-                if found:
-                    n, d1, tokens, p1, p2 = zip(*found, strict=True)
-                    bits = [_bitmap(t) for t in tokens]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(n, pa.int64()),
-                         pa.array(d1, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
-                         pa.array(p1, pa.int64()), pa.array(p2, pa.int64()), pa.array(bits, pa.list_(pa.int64()))],
-                        ["doc_id", "n", "d1", "tokens", "p1", "p2", "bits"],
-                    )
-
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, tokens array<long>, p1 long, p2 long, bits array<long>")
+    A prefix has ``size`` shingles. ``tokens`` are those whose counter somebody else uses as well,
+    at ``places`` (from 0); a set without any has no row, since it meets nobody.
+    """
+    fields = [
+        ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("size", pa.int64()),
+        ("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("p1", pa.int64()), ("p2", pa.int64()),
+        ("bits", pa.list_(pa.int64())),
+    ]
+
+    def choose(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        held = pa.ipc.open_stream(blocks["data"][0].as_py()).read_all()
+        parts = sorted(zip(*(answers[c].to_pylist() for c in ("slice", "size", "data")), strict=True))
+        counts = np.concatenate([_unpack(data, size) for _, size, data in parts])
+        sets = [s for group in groups(v.as_py() for v in held["text"]) for s in shingle_sets(group, words)]
+        _, used = np.unique(_slots(np.concatenate(sets), slices), return_inverse=True)
+        counts = np.split(counts[used], np.cumsum([len(s) for s in sets])[:-1])
+        found = []
+        keys = zip(*(held[c].to_pylist() for c in ("doc_id", "n", "d1", "d2")), strict=True)
+        for key, s, own in zip(keys, sets, counts, strict=True):
+            order = np.lexsort((s, own))[: len(s) + num * len(s) // -den + 1]
+            tokens = s[order]
+            places = np.flatnonzero(own[order] > 1)
+            if len(places):
+                found.append((*key, len(tokens), places, tokens[places].astype(np.int64), *digest(tokens), _bitmap(tokens)))
+        columns = zip(*found, strict=True) if found else [[] for _ in fields]
+        return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+    blocks = measured.filter(F.col("kind") == _BLOCK).select("block", "data")
+    return blocks.groupBy("block").cogroup(_answers(measured).groupBy("block")).applyInArrow(
+        choose,
+        "doc_id long, n long, d1 long, d2 long, size long, places array<int>, tokens array<long>, p1 long, p2 long, bits array<long>",
+    )
 
 
 def _can_reach(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
@@ -159,12 +223,15 @@ def _promising(pairs: DataFrame, grouped: DataFrame, a: list[str], b: list[str],
     What is shared outside both prefixes lies in the rest of the set whose prefix ends first.
     """
     sides = []
-    for columns, n, tokens in ((a, "_n", "_t"), (b, "_m", "_u")):
-        sides.append(grouped.select(F.col("g").alias(columns[0]), F.col("g1").alias(columns[1]), F.col("n").alias(n), F.col("tokens").alias(tokens)))
+    for columns, n, tokens, rest in ((a, "_n", "_t", "_r"), (b, "_m", "_u", "_s")):
+        sides.append(grouped.select(
+            F.col("g").alias(columns[0]), F.col("g1").alias(columns[1]), F.col("n").alias(n), F.col("tokens").alias(tokens),
+            (F.col("n") - F.col("size")).alias(rest),
+        ))
     met = pairs.join(sides[0], a).join(sides[1], b)
-    rest = F.greatest(F.col("_n") - F.size("_t"), F.col("_m") - F.size("_u"))
+    rest = F.greatest("_r", "_s")
     shared = F.size(F.array_intersect("_t", "_u")) + rest
-    return met.filter((num + den) * shared >= num * (F.col("_n") + F.col("_m"))).drop("_n", "_t", "_m", "_u")
+    return met.filter((num + den) * shared >= num * (F.col("_n") + F.col("_m"))).drop("_n", "_t", "_m", "_u", "_r", "_s")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -215,22 +282,24 @@ def jaccard_components(
     id keeps its size, gets a null component and links nothing. Other columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    measured = cut(_measure(docs, words))
-    rows = measured.filter("slice is null").drop("slice", "counts")
+    slices = _slices(docs)
+    least = -(-num // (den - num)) if den > num else None
+    measured = cut(_measure(docs, words, least, slices))
+    rows = measured.filter(F.col("kind") == _DOCUMENT).select("doc_id", "n", "d1", "d2")
     named = rows.filter("n > 0 and doc_id is not null")
     classes = cut(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("head")))
 
-    prefixes = _prefixes(docs.filter("doc_id is not null"), words, num, den, _sketch(measured))
-    heads = classes.select(F.col("head").alias("doc_id"), "n", "d1")
-    prefixes = cut(prefixes.join(heads, ["doc_id", "n", "d1"], "left_semi").dropDuplicates(["doc_id", "n", "d1"]))
+    heads = classes.select(F.col("head").alias("doc_id"), "n", "d1", "d2")
+    prefixes = _prefixes(measured, words, num, den, slices).join(heads, ["doc_id", "n", "d1", "d2"], "left_semi")
+    prefixes = cut(prefixes.dropDuplicates(["doc_id", "n", "d1"]).drop("d2"))
     member = F.struct("doc_id", "d1")
-    grouped = prefixes.groupBy("n", "p1", "p2").agg(
-        F.min(member).alias("g"), F.min_by(F.struct("tokens", "bits"), member).alias("t")
-    )
-    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "t.tokens", "t.bits"))
-    members = cut(prefixes.drop("tokens", "bits").join(grouped.drop("tokens", "bits"), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n"))
+    prefix = ["size", "places", "tokens", "bits"]
+    grouped = prefixes.groupBy("n", "p1", "p2").agg(F.min(member).alias("g"), F.min_by(F.struct(*prefix), member).alias("t"))
+    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "t.*"))
+    members = cut(prefixes.drop(*prefix).join(grouped.drop(*prefix), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n"))
 
-    postings = grouped.select("g", "g1", "n", F.posexplode("tokens").alias("pos", "token"))
+    postings = grouped.select("g", "g1", "n", F.explode(F.arrays_zip("places", "tokens")).alias("t"))
+    postings = postings.select("g", "g1", "n", F.col("t.places").alias("pos"), F.col("t.tokens").alias("token"))
     holder = F.struct("n", "g", "g1", "pos")
     ends = (
         postings.groupBy("token")
@@ -274,7 +343,7 @@ def jaccard_components(
         .agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.max_by("c", F.struct("_n", "c")).alias("major"))
         .filter("_a <> _b").drop("_a", "_b")
     )
-    described = grouped.select("g", "g1", F.size("tokens").alias("size"), "bits")
+    described = grouped.select("g", "g1", "size", "bits")
     entries = cut(entries.join(mixed, ["kind", "token"]).join(described, ["g", "g1"]))
     other = entries.drop("major").select(
         "kind", "token", *(F.col(x).alias(f"{x}_") for x in ("g", "g1", "n", "pos", "c", "size", "bits"))
