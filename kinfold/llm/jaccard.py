@@ -383,10 +383,15 @@ def jaccard_components(
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.
 
-    Of rows that share this id one stays. Rows without an id all stay.
+    Of rows that share this id one stays, the least by all its columns from the first on, so reruns
+    agree; columns must be of types that have an order. Rows without an id all stay.
     """
     found = jaccard_components(docs, doc_id, text, words, num, den)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
     nameless = kept.filter(F.col(doc_id).isNull())
-    return kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(nameless)
+    named = kept.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(name)).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return named.select("row.*").unionByName(nameless)

@@ -82,6 +82,14 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(None, long), (None, "x"), (4, "other words here")], key=str)
 
 
+def test_clashing_names_and_ties(spark):
+    rows = [(7, "b c d", 1, "x"), (7, "a c d", 2, "y"), (9, "a c d", 3, "z"), (None, "a", 4, "u"), (None, "a", 4, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, row string")
+    kept = J.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(7, "a c d", 2, "y"), *rows[3:]], key=str)
+
+
 def test_hashes_follow_the_words():
     texts = ["A b  C", "a\tb c", "a b cd", None, "é É", "b c"]
     sets = [frozenset(s.tolist()) for s in shingle_sets(texts, 2)]
