@@ -13,7 +13,9 @@ The result is components, so a pair within one component need not be verified. A
 compares each group with two others only, the smallest and the largest holder that it meets most
 often, which joins the copies of one text in linear work. The second round takes every remaining
 pair of holders that lie in different components, without forming pairs inside the largest
-component of a shingle.
+component of a shingle. A pair leaves that join at the first shingle it shares, as a rule once: a
+holder brings the few shingles before its own, and a pair that has met at one of them is not told
+again. Parities of whole sets, where a group is a single set, hold off pairs that differ too much.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ SLICE_BITS = 24
 SLICE_BYTES = 1 << 24
 # Shingles that a block asks of a slice at least, on average, so that rows stay worth their keys.
 ASKED = 64
+# Bits of a set's parity map, and shingles before its own that a posting carries in the second round.
+PARITY_BITS = 512
+BEFORE = 8
 
 _MEASURED = pa.schema(
     [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
@@ -159,6 +164,22 @@ def _bitmap(tokens: np.ndarray) -> list[int]:
     return np.packbits(marks).view("<i8").tolist()
 
 
+def _parity(values: np.ndarray) -> list[int]:
+    """Whether an odd number of hashes falls on each of 512 bits.
+
+    Two sets differ in at least as many hashes as their maps do in bits.
+    """
+    odd = np.bincount((values & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def _can_agree(n: str, m: str, x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets of n and m hashes with parity maps x and y can link; a null map says nothing."""
+    differ = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    within = (num + den) * differ <= (den - num) * (F.col(n) + F.col(m))
+    return F.coalesce(within, F.lit(True))
+
+
 def _can_share(num: int, den: int) -> Column:
     """Whether two prefixes (n, size, bits) and (n_, size_, bits_) can share enough, by their bits."""
     lacks, lacks_ = (
@@ -171,7 +192,7 @@ def _can_share(num: int, den: int) -> Column:
 
 
 def _prefixes(measured: DataFrame, words: int, num: int, den: int, slices: int) -> DataFrame:
-    """(doc_id, n, d1, d2, size, places, tokens, p1, p2, bits): prefixes of sets that can link.
+    """(doc_id, n, d1, d2, size, places, tokens, p1, p2, bits, whole): prefixes of sets that can link.
 
     A prefix has ``size`` shingles. ``tokens`` are those whose counter somebody else uses as well,
     at ``places`` (from 0); a set without any has no row, since it meets nobody.
@@ -179,7 +200,7 @@ def _prefixes(measured: DataFrame, words: int, num: int, den: int, slices: int)
     fields = [
         ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("size", pa.int64()),
         ("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("p1", pa.int64()), ("p2", pa.int64()),
-        ("bits", pa.list_(pa.int64())),
+        ("bits", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64())),
     ]
 
     def choose(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -196,14 +217,15 @@ def _prefixes(measured: DataFrame, words: int, num: int, den: int, slices: int)
             tokens = s[order]
             places = np.flatnonzero(own[order] > 1)
             if len(places):
-                found.append((*key, len(tokens), places, tokens[places].astype(np.int64), *digest(tokens), _bitmap(tokens)))
+                own_tokens = tokens[places].astype(np.int64)
+                found.append((*key, len(tokens), places, own_tokens, *digest(tokens), _bitmap(tokens), _parity(s)))
         columns = zip(*found, strict=True) if found else [[] for _ in fields]
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
     blocks = measured.filter(F.col("kind") == _BLOCK).select("block", "data")
     return blocks.groupBy("block").cogroup(_answers(measured).groupBy("block")).applyInArrow(
         choose,
-        "doc_id long, n long, d1 long, d2 long, size long, places array<int>, tokens array<long>, p1 long, p2 long, bits array<long>",
+        "doc_id long, n long, d1 long, d2 long, size long, places array<int>, tokens array<long>, p1 long, p2 long, bits array<long>, whole array<long>",
     )
 
 
@@ -217,6 +239,26 @@ def _can_reach(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
     return sizes & ((num + den) * F.least(n - i, m - j) >= num * (n + m))
 
 
+def _meetings(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (g, g1, c, g_, g1_, c_) of holders of one token in different components.
+
+    Each pair has a holder outside the token's ``major`` component; where both are, the smaller
+    one asks. The first token that a pair shares is never among the tokens before both places,
+    and passes every bound if the pair can link, so dropping a later meeting loses nothing.
+    """
+    carried = ("g", "g1", "n", "pos", "c", "size", "bits", "whole", "before")
+    other = entries.select("kind", "token", *(F.col(x).alias(f"{x}_") for x in carried))
+    once = (F.col("c_") == F.col("major")) | (F.struct("c", "g", "g1") < F.struct("c_", "g_", "g1_"))
+    return (
+        entries.filter("c <> major").join(other, ["kind", "token"])
+        .filter((F.col("c") != F.col("c_")) & once)
+        .filter(_can_reach("n", "n_", "pos", "pos_", num, den) & _can_share(num, den))
+        .filter(_can_agree("n", "n_", "whole", "whole_", num, den))
+        .filter(~F.arrays_overlap("before", "before_"))
+        .select("g", "g1", "c", "g_", "g1_", "c_")
+    )
+
+
 def _promising(pairs: DataFrame, grouped: DataFrame, a: list[str], b: list[str], num: int, den: int) -> DataFrame:
     """Group pairs whose prefixes share enough.
 
@@ -294,9 +336,15 @@ def jaccard_components(
     prefixes = cut(prefixes.dropDuplicates(["doc_id", "n", "d1"]).drop("d2"))
     member = F.struct("doc_id", "d1")
     prefix = ["size", "places", "tokens", "bits"]
-    grouped = prefixes.groupBy("n", "p1", "p2").agg(F.min(member).alias("g"), F.min_by(F.struct(*prefix), member).alias("t"))
-    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "t.*"))
-    members = cut(prefixes.drop(*prefix).join(grouped.drop(*prefix), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n"))
+    # The map of a group is that of its set; a group of several sets has none.
+    grouped = prefixes.groupBy("n", "p1", "p2").agg(
+        F.min(member).alias("g"), F.min_by(F.struct(*prefix), member).alias("t"),
+        F.when(F.count(F.lit(1)) == 1, F.first("whole")).alias("whole"),
+    )
+    grouped = cut(grouped.select(F.col("g.doc_id").alias("g"), F.col("g.d1").alias("g1"), "n", "p1", "p2", "t.*", "whole"))
+    members = cut(
+        prefixes.drop(*prefix).join(grouped.drop(*prefix, "whole"), ["n", "p1", "p2"]).select("doc_id", "d1", "g", "g1", "n", "whole")
+    )
 
     postings = grouped.select("g", "g1", "n", F.explode(F.arrays_zip("places", "tokens")).alias("t"))
     postings = postings.select("g", "g1", "n", F.col("t.places").alias("pos"), F.col("t.tokens").alias("token"))
@@ -328,7 +376,7 @@ def jaccard_components(
     # Second round: holders of one shingle, or of one prefix, in different components.
     placed = cut(
         members.join(roots, members["doc_id"] == roots["node"], "left")
-        .select("doc_id", "d1", "g", "g1", "n", F.coalesce("root", "doc_id").alias("c"))
+        .select("doc_id", "d1", "g", "g1", "n", "whole", F.coalesce("root", "doc_id").alias("c"))
     )
     kinds = placed.select("g", "g1", "n", "c").distinct()
     by_token = shared.drop("low", "high").join(kinds.drop("n"), ["g", "g1"]).withColumn("kind", F.lit(0))
@@ -343,23 +391,19 @@ def jaccard_components(
         .agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.max_by("c", F.struct("_n", "c")).alias("major"))
         .filter("_a <> _b").drop("_a", "_b")
     )
-    described = grouped.select("g", "g1", "size", "bits")
-    entries = cut(entries.join(mixed, ["kind", "token"]).join(described, ["g", "g1"]))
-    other = entries.drop("major").select(
-        "kind", "token", *(F.col(x).alias(f"{x}_") for x in ("g", "g1", "n", "pos", "c", "size", "bits"))
-    )
-    met = (
-        entries.filter("c <> major").join(other, ["kind", "token"])
-        .filter("c <> c_").filter(_can_reach("n", "n_", "pos", "pos_", num, den) & _can_share(num, den))
-        .select("g", "g1", "c", "g_", "g1_", "c_").distinct()
-    )
-    met = _promising(met, grouped, ["g", "g1"], ["g_", "g1_"], num, den)
-    left = placed.select("g", "g1", "c", F.col("doc_id").alias("x"), F.col("d1").alias("x1"))
+    described = grouped.select("g", "g1", "size", "bits", "whole", "places", "tokens")
+    at = F.when(F.col("kind") == 0, F.array_position("places", F.col("pos").cast("int")) - 1).otherwise(0).cast("int")
+    before = F.slice("tokens", F.greatest(at - BEFORE, F.lit(0)) + 1, F.least(at, F.lit(BEFORE)))
+    entries = entries.join(mixed, ["kind", "token"]).join(described, ["g", "g1"])
+    entries = cut(entries.withColumn("before", before).drop("places", "tokens"))
+    met = _promising(_meetings(entries, num, den).distinct(), grouped, ["g", "g1"], ["g_", "g1_"], num, den)
+    left = placed.select("g", "g1", "c", F.col("n").alias("_n"), F.col("whole").alias("_w"), F.col("doc_id").alias("x"), F.col("d1").alias("x1"))
     right = placed.select(
-        F.col("g").alias("g_"), F.col("g1").alias("g1_"), F.col("c").alias("c_"),
-        F.col("doc_id").alias("y"), F.col("d1").alias("y1"),
+        F.col("g").alias("g_"), F.col("g1").alias("g1_"), F.col("c").alias("c_"), F.col("n").alias("_m"),
+        F.col("whole").alias("_v"), F.col("doc_id").alias("y"), F.col("d1").alias("y1"),
     )
-    late = met.join(left, ["g", "g1", "c"]).join(right, ["g_", "g1_", "c_"]).select(*_ordered("x", "x1", "y", "y1")).distinct()
+    late = met.join(left, ["g", "g1", "c"]).join(right, ["g_", "g1_", "c_"]).filter(_can_agree("_n", "_m", "_w", "_v", num, den))
+    late = late.select(*_ordered("x", "x1", "y", "y1")).distinct()
     late = cut(_verify(late, docs, words, num, den))
     # Documents of one id are one node even if their sets differ.
     same = named.join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
