@@ -11,8 +11,9 @@
 
 The result is components, so a pair within one component need not be verified. A first round
 compares each group with two others only, the smallest and the largest holder that it meets most
-often, which joins the copies of one text in linear work. The second round takes every remaining
-pair of holders that lie in different components, without forming pairs inside the largest
+often, which joins the copies of one text in linear work. It is repeated with holders in the
+first and last component of each shingle, while that still joins many, so a large group of near
+copies is one component before pairs are taken. The second round takes every remaining pair of holders that lie in different components, without forming pairs inside the largest
 component of a shingle. A pair leaves that join at the first shingle it shares, as a rule once: a
 holder brings the few shingles before its own, and a pair that has met at one of them is not told
 again. Parities of whole sets, where a group is a single set, hold off pairs that differ too much.
@@ -41,6 +42,8 @@ ASKED = 64
 # Bits of a set's parity map, and shingles before its own that a posting carries in the second round.
 PARITY_BITS = 512
 BEFORE = 8
+# The first round is repeated while at least this share of its pairs link; the second one is whole anyway.
+WORTH_A_ROUND = 0.5
 
 _MEASURED = pa.schema(
     [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
@@ -239,6 +242,48 @@ def _can_reach(n: str, m: str, i: str, j: str, num: int, den: int) -> Column:
     return sizes & ((num + den) * F.least(n - i, m - j) >= num * (n + m))
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """``entries`` of tokens held in several components, with the one that holds most (``major``)."""
+    sizes = entries.groupBy("kind", "token", "c").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = (
+        sizes.groupBy("kind", "token")
+        .agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.max_by("c", F.struct("_n", "c")).alias("major"))
+        .filter("_a <> _b").drop("_a", "_b")
+    )
+    return entries.join(mixed, ["kind", "token"])
+
+
+def _hooks(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (g, g1, c, g_, g1_, c_): each holder with two others at most, in other components.
+
+    These are the holders in the first and the last component of its tokens that it meets most
+    often. Some links are found so, the rest by ``_meetings``.
+    """
+    name, facts = F.struct("c", "g", "g1"), F.struct("n", "pos", "whole")
+    ends = entries.groupBy("kind", "token").agg(
+        F.min(name).alias("low"), F.min_by(facts, name).alias("low_facts"),
+        F.max(name).alias("high"), F.max_by(facts, name).alias("high_facts"),
+    )
+    met = entries.join(ends, ["kind", "token"])
+    found = []
+    for end in ("low", "high"):
+        often = (
+            met.filter(F.col("c") != F.col(f"{end}.c"))
+            .filter(_can_reach("n", f"{end}_facts.n", "pos", f"{end}_facts.pos", num, den))
+            .filter(_can_agree("n", f"{end}_facts.n", "whole", f"{end}_facts.whole", num, den))
+            .groupBy("g", "g1", "c", F.col(end).alias("e")).agg(F.count(F.lit(1)).alias("_c"))
+            .groupBy("g", "g1", "c").agg(F.max_by("e", F.struct("_c", "e")).alias("e"))
+        )
+        found.append(often.select("g", "g1", "c", *(F.col(f"e.{x}").alias(f"{x}_") for x in ("g", "g1", "c"))))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the components that their own have become."""
+    moved = rows.join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
+    return moved.withColumn("c", F.coalesce("root", "c")).drop("root")
+
+
 def _meetings(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (g, g1, c, g_, g1_, c_) of holders of one token in different components.
 
@@ -385,17 +430,27 @@ def jaccard_components(
         "g", "g1", "n", F.lit(0).alias("pos"), F.xxhash64("g", "g1").alias("token"), "c", F.lit(1).alias("kind")
     )
     entries = by_token.unionByName(by_group)
-    sizes = entries.groupBy("kind", "token", "c").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = (
-        sizes.groupBy("kind", "token")
-        .agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.max_by("c", F.struct("_n", "c")).alias("major"))
-        .filter("_a <> _b").drop("_a", "_b")
-    )
     described = grouped.select("g", "g1", "size", "bits", "whole", "places", "tokens")
     at = F.when(F.col("kind") == 0, F.array_position("places", F.col("pos").cast("int")) - 1).otherwise(0).cast("int")
     before = F.slice("tokens", F.greatest(at - BEFORE, F.lit(0)) + 1, F.least(at, F.lit(BEFORE)))
-    entries = entries.join(mixed, ["kind", "token"]).join(described, ["g", "g1"])
+    entries = _mixed(entries).join(described, ["g", "g1"])
     entries = cut(entries.withColumn("before", before).drop("places", "tokens"))
+    while True:
+        hooks = _hooks(entries, num, den)
+        first = placed.groupBy("g", "g1", "c").agg(F.min(F.struct("doc_id", "d1")).alias("x"))
+        other = first.select(*(F.col(x).alias(f"{x}_") for x in ("g", "g1", "c")), F.col("x").alias("y"))
+        hooks = hooks.join(first, ["g", "g1", "c"]).join(other, ["g_", "g1_", "c_"])
+        hooks = cut(hooks.select(*_ordered("x.doc_id", "x.d1", "y.doc_id", "y.d1")).distinct())
+        joined = cut(_verify(hooks, docs, words, num, den))
+        links = joined.count()
+        if not links:
+            break
+        edges = edges.unionByName(joined)
+        roots = cut(connected_components(edges).dropDuplicates(["node"]))
+        placed = cut(_moved(placed, roots))
+        entries = cut(_mixed(_moved(entries.drop("major"), roots)))
+        if links < WORTH_A_ROUND * hooks.count():
+            break
     met = _promising(_meetings(entries, num, den).distinct(), grouped, ["g", "g1"], ["g_", "g1_"], num, den)
     left = placed.select("g", "g1", "c", F.col("n").alias("_n"), F.col("whole").alias("_w"), F.col("doc_id").alias("x"), F.col("d1").alias("x1"))
     right = placed.select(
