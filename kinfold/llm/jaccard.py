@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinfold.llm.names import unused
 from kinfold.llm.shingles import digest, groups, shingle_sets
 from kinfold.operators.components import connected_components
 from kinfold.session import cut
@@ -486,9 +487,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     agree; columns must be of types that have an order. Rows without an id all stay.
     """
     found = jaccard_components(docs, doc_id, text, words, num, den)
-    name = "_gone"
-    while name in docs.columns:
-        name = f"_{name}"
+    (name,) = unused(docs.columns, "_gone")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
     nameless = kept.filter(F.col(doc_id).isNull())

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinfold.llm.names import unused
+
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -236,7 +238,8 @@ def predict(
     """Add the most probable language and its mean probability over all windows of the text.
 
     A null text, one without letters, and any text where there is no network are ``und`` at 0.
-    Columns of the two names are replaced; rows are neither dropped nor moved.
+    Columns of the two names are replaced, all others are carried along whatever their names; rows
+    are neither dropped nor moved.
     """
     readable = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if network is None:
@@ -248,10 +251,11 @@ def predict(
         for texts in batches:
             yield _score(network, tables, texts)
 
-    found = docs.withColumns({"_readable": readable}).withColumn("_found", run(F.col(text)))
+    known, guess = unused([*docs.columns, lang, score], "_readable", "_found")
+    found = docs.withColumns({known: readable}).withColumn(guess, run(F.col(text)))
     return found.withColumns(
         {
-            lang: F.when(F.col("_readable"), F.col("_found.lang")).otherwise(F.lit(UNKNOWN)),
-            score: F.when(F.col("_readable"), F.col("_found.score")).otherwise(F.lit(0.0)),
+            lang: F.when(F.col(known), F.col(guess)["lang"]).otherwise(F.lit(UNKNOWN)),
+            score: F.when(F.col(known), F.col(guess)["score"]).otherwise(F.lit(0.0)),
         }
-    ).drop("_readable", "_found")
+    ).drop(known, guess)

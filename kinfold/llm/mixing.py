@@ -102,7 +102,8 @@ def assign(
 
     ``_place`` is where the document's first copy is centred among its source's words. A copy is
     taken if its centre lies before the target, so what a source gives is within one document of
-    it, and no document is taken more than ``most`` times. Null sources are one source; sizes of
+    it, and no document is taken more than ``most`` times. ``docs`` has no columns of these names
+    nor _source, _key, _slice, _offset, _s, _c, _t (``mix`` takes any). Null sources are one source; sizes of
     null or empty texts are 0; a source without words gives nothing. Rows that repeat are ordered
     as documents of their own. The order depends on ids and texts alone, so reruns agree.
     """
@@ -155,9 +156,20 @@ def mix(
     curves: tuple[tuple[float, ...], ...] = CURVES,
     name: str = "position",
 ) -> DataFrame:
-    """The mix itself: every taken copy of every document, range-sorted by training position."""
-    taken = assign(docs, doc_id, source, None, text, weights, most)
-    return place(taken, [c for c in docs.columns if c != name], doc_id, curves, name)
+    """The mix itself: every taken copy of every document, range-sorted by training position.
+
+    A column of the name ``name`` is replaced, all others are carried along whatever their names.
+    Documents without words have a size of 0: they go with a copy where their place lies before
+    the target. Null sources are one source; rows that repeat are documents of their own; an
+    empty table gives an empty one.
+    """
+    inner = {doc_id: "doc_id", source: "source", text: "text"}
+    inner |= {c: f"extra{n}" for n, c in enumerate(docs.columns) if c not in inner}
+    own = docs.select(*(F.col(c).alias(inner[c]) for c in docs.columns))
+    taken = assign(own, weights=weights, most=most)
+    kept = [c for c in docs.columns if c != name]
+    placed = place(taken, [inner[c] for c in {doc_id: None, **dict.fromkeys(kept)}], "doc_id", curves)
+    return placed.select(*(F.col(inner[c]).alias(c) for c in kept), F.col("position").alias(name))
 
 
 def place(

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinfold.llm.names import unused
 from kinfold.session import cut
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -181,17 +182,19 @@ def best_fit_pack(
 
     Every row is one item of 1 to ``size`` tokens; longer ones or null lengths are an error.
     Repeated rows are items of their own; an empty table gives an empty table. Columns of the
-    names ``sequence_id`` and ``offset`` are replaced, all others are carried along.
+    names ``sequence_id`` and ``offset`` are replaced, all others are carried along whatever their
+    names.
     """
     own = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    rows = cut(items.select(*own, F.monotonically_increasing_id().alias("_row")))
+    (row,) = unused(own, "_row")
+    rows = cut(items.select(*own, F.monotonically_increasing_id().alias(row)))
     total, shortest, longest, unknown = rows.agg(
         F.count(F.lit(1)), F.min(length), F.max(length), F.count_if(F.col(length).isNull())
     ).first()
     if unknown or (total and (shortest < 1 or longest > size)):
         raise ValueError(f"items have 1 to {size} tokens")
     groups = max(1, -(-total // per_partition))
-    part = F.pmod(F.xxhash64("_row"), F.lit(groups))
+    part = F.pmod(F.xxhash64(row), F.lit(groups))
 
     def pack(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, fills = best_fit(frame["_length"].to_numpy(), size)
@@ -206,7 +209,7 @@ def best_fit_pack(
         )
 
     placed = cut(
-        rows.select("_row", F.col(length).cast("long").alias("_length"), part.alias("_part"))
+        rows.select(F.col(row).alias("_row"), F.col(length).cast("long").alias("_length"), part.alias("_part"))
         .groupBy("_part")
         .applyInPandas(pack, "_row long, _bin long, offset long, _fill long, _up boolean")
     )
@@ -223,8 +226,8 @@ def best_fit_pack(
             .drop("_into", "_shift")
         )
         waiting = level.filter("_up").select(F.col("_into").alias("_bin"), "_fill").distinct()
-    numbers = placed.select("_row", F.col("_bin").alias("sequence_id"), "offset")
-    return rows.join(numbers, "_row").drop("_row")
+    numbers = placed.select(F.col("_row").alias(row), F.col("_bin").alias("sequence_id"), "offset")
+    return rows.join(numbers, row).drop(row)
 
 
 def _merge(waiting: DataFrame, size: int, span: int, groups: int) -> DataFrame:

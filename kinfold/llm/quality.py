@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinfold.llm.names import unused
 from kinfold.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,7 +83,8 @@ def repeated_words(words: Column, window: int = WINDOW_WORDS) -> Column:
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
 
-    A null text has no words. Columns of these names are replaced.
+    A null text has no words. Columns of these names are replaced, all others are carried along
+    whatever their names. Rows that repeat are measured each.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
@@ -101,21 +103,22 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines"),
         ),
     )
+    of_words, of_lines = unused(docs.columns, "_counted", "_lined")
     return docs.withColumns(
         {
-            "_counted": counted,
-            "_lined": lined,
+            of_words: counted,
+            of_lines: lined,
             "word_chars": F.length(F.translate(whole, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         }
     ).withColumns(
         {
-            "n_words": F.col("_counted.n_words"),
-            "n_repeat_words": F.col("_counted.n_repeat_words"),
-            "n_lines": F.col("_lined.n_lines"),
-            "n_dup_lines": F.col("_lined.n_dup_lines"),
+            "n_words": F.col(of_words)["n_words"],
+            "n_repeat_words": F.col(of_words)["n_repeat_words"],
+            "n_lines": F.col(of_lines)["n_lines"],
+            "n_dup_lines": F.col(of_lines)["n_dup_lines"],
         }
-    ).drop("_counted", "_lined")
+    ).drop(of_words, of_lines)
 
 
 def _shares() -> dict[str, Column]:
