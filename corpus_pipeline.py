@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.llm import jaccard, langid, mixing, packing, suffix_dedup
+from kinfold.llm.names import unused
 from kinfold.llm.tables import documents
 from kinfold.session import cut
 
@@ -20,18 +21,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep documents in a language that the network recognises.
 
     It learns from a bounded sample of the labelled documents. Null texts and texts without letters
-    are rejected.
+    are rejected. Rows that repeat are judged alike; all columns are carried along.
     """
     network = langid.fit(docs)
-    found = langid.predict(
-        docs.withColumn("_text", F.col("text")), network, text="_text", lang="_lang", score="_score"
-    )
-    good = (F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
+    lang, score = unused(docs.columns, "_lang", "_score")
+    found = langid.predict(docs, network, lang=lang, score=score)
+    good = (F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.filter(good).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every group of near duplicates (five words, 0.8 or more)."""
+    """Keep the first document of every group of near duplicates (five words, 0.8 or more).
+
+    Null and empty texts and rows without an id all stay; of rows with one id one stays.
+    """
     return jaccard.keep_first(docs)
 
 
@@ -51,12 +54,19 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take every source to its target share, repeats as rows, in the order of training."""
-    return mixing.mix(docs, name="_position").select(*docs.columns)
+    """Take every source to its target share, repeats as rows, in the order of training.
+
+    Null sources are one source; all columns are carried along.
+    """
+    (position,) = unused(docs.columns, "_position")
+    return mixing.mix(docs, name=position).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, each piece with its place in a sequence of 1024 tokens."""
+    """Token ids of all documents, each piece with its place in a sequence of 1024 tokens.
+
+    A null or empty text is its end token alone; rows that repeat are packed each.
+    """
     pieces = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids"))
     return packing.best_fit_pack(pieces)
 
