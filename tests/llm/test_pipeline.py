@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from kinfold.session import cut
@@ -100,3 +101,14 @@ def test_run_and_nulls(spark, tmp_path):
         assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(found.columns)
         ids = {r.doc_id for r in found.collect()}
         assert ids <= {None, 5} and bool(ids) == (name == "some")
+
+
+def test_stages_carry_every_column(spark, sf_small):
+    names = ["_text", "_lang", "_score", "_size", "_position", "_gone", "row", "kept", "other", "n_bytes"]
+    given = spark.read.parquet(f"{sf_small}/documents.parquet").limit(60)
+    docs = cut(given.select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in names)))
+    for _, stage in C.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_small))
+        assert docs.columns == [*given.columns, *names]
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
