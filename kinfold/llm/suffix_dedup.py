@@ -8,7 +8,8 @@ equal windows have one name wherever they stand, and neighbouring windows mostly
 3. Each block cuts the stretches of windows with shared names into segments, drops repeats of a
    segment within the block, and sends them to the shard of their name.
 4. A shard sorts its segments by external induced sorting (``induced.py``) and finds for every
-   window the smallest document that has it. Each block gets back what its own segments need.
+   window the smallest document that has it. A segment that is alone under its name needs no
+   sorting: no other has its windows. Each block gets back what its own segments need.
 5. Each block marks the bytes and cuts them out.
 
 Blocks and shards grow in number, not in size. A name, however frequent, reaches its shard at most
@@ -243,6 +244,39 @@ def _cut_segments(docs: pd.DataFrame, shared: pd.DataFrame, length: int, parts:
     return pd.DataFrame(rows, columns=columns)
 
 
+def _is_single(names: np.ndarray) -> np.ndarray:
+    """Which names stand there once."""
+    _, place, count = np.unique(names, return_inverse=True, return_counts=True)
+    return count[place] == 1
+
+
+def _ranges(
+    segments: list[bytes], lows: np.ndarray, alone: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, smallest id, segment) of windows with one smallest id, by segment.
+
+    Equal windows have equal names, so the windows of a segment that is ``alone`` under its name
+    stand in no other: its own smallest id is theirs. All other segments are sorted.
+    """
+    sizes = np.array([len(s) for s in segments], np.int64)
+    known = np.flatnonzero(alone & (lows != _LAST_ID))
+    found = [(np.zeros(len(known), np.int64), sizes[known] - length + 1, lows[known], known)]
+    sorted_ = np.flatnonzero(~alone)
+    if len(sorted_):
+        least, starts = window_minima([segments[k] for k in sorted_], lows[sorted_], length)
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[starts] = True
+        begin = np.flatnonzero(new)
+        value, span = least[begin], np.diff(begin, append=len(least))
+        of = np.searchsorted(starts, begin, "right") - 1
+        real = (value != _LAST_ID) & (begin - starts[of] + length <= sizes[sorted_[of]])
+        found.append((begin[real] - starts[of[real]], span[real], value[real], sorted_[of[real]]))
+    begin, span, value, segment = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(segment, kind="stable")
+    return begin[order], span[order], value[order], segment[order]
+
+
 def _sort_shard(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
     """For each block: (name, print) of segments, and in them ranges of windows to be removed.
 
@@ -268,20 +302,12 @@ def _sort_shard(frame: pd.DataFrame, length: int, parts: int) -> pd.DataFrame:
             number[k] = place
             at += size
         senders.append((row.block, names, prints, low + _expand(row.spreads, "<i8"), number))
+    alone = _is_single(np.array([name for name, _ in known], np.uint64))
     del data, known
-    least, starts = window_minima(segments, np.array(lows, np.int64), length)
-    sizes = np.array([len(s) for s in segments], np.int64)
-    # Ranges of equal smallest ids, and the smallest of each segment.
-    new = np.ones(len(least), bool)
-    new[1:] = least[1:] != least[:-1]
-    new[starts] = True
-    begin = np.flatnonzero(new)
-    value, span = least[begin], np.diff(begin, append=len(least))
-    segment = np.searchsorted(starts, begin, "right") - 1
-    real = (value != _LAST_ID) & (begin - starts[segment] + length <= sizes[segment])
-    begin, value, span, segment = begin[real] - starts[segment[real]], value[real], span[real], segment[real]
+    begin, span, value, segment = _ranges(segments, np.array(lows, np.int64), alone, length)
     first = np.searchsorted(segment, np.arange(len(segments) + 1))
-    smallest = np.minimum.reduceat(value, first[:-1]) if len(value) else np.zeros(0, np.int64)
+    smallest = np.full(len(segments), _LAST_ID)
+    np.minimum.at(smallest, segment, value)
     rows = []
     for block, names, prints, highs, number in senders:
         removable = np.flatnonzero(smallest[number] < highs)
