@@ -43,8 +43,10 @@ ASKED = 64
 # Bits of a set's parity map, and shingles before its own that a posting carries in the second round.
 PARITY_BITS = 512
 BEFORE = 8
-# The first round is repeated while at least this share of its pairs link; the second one is whole anyway.
+# The first round is repeated while at least this share of its pairs link, but no more often than this;
+# the second one takes all pairs that are left.
 WORTH_A_ROUND = 0.5
+MOST_ROUNDS = 3
 
 _MEASURED = pa.schema(
     [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
@@ -436,7 +438,7 @@ def jaccard_components(
     before = F.slice("tokens", F.greatest(at - BEFORE, F.lit(0)) + 1, F.least(at, F.lit(BEFORE)))
     entries = _mixed(entries).join(described, ["g", "g1"])
     entries = cut(entries.withColumn("before", before).drop("places", "tokens"))
-    while True:
+    for _ in range(MOST_ROUNDS):
         hooks = _hooks(entries, num, den)
         first = placed.groupBy("g", "g1", "c").agg(F.min(F.struct("doc_id", "d1")).alias("x"))
         other = first.select(*(F.col(x).alias(f"{x}_") for x in ("g", "g1", "c")), F.col("x").alias("y"))
