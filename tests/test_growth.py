@@ -1,6 +1,9 @@
 """Work that a query does once only, however large its tables are."""
 
 import __spark_entry__ as contract
+from kinfold.operators import scoring
+from kinfold.plans import catalog
+from kinfold.session import cut
 
 
 def optimized(df):
@@ -10,3 +13,24 @@ def optimized(df):
 def test_envelopes_are_parsed_once(spark, sf_small):
     plan = optimized(contract.queries()["object_identity_reasons"](spark, sf_small))
     assert plan.count("parseJson") == 1
+
+
+def blocks(spark, folder):
+    records = catalog._numbered(spark, folder)
+    linked = records.join(catalog._links(records).select("record_no", "guest_no"), "record_no")
+    return [cut(part) for part in scoring.sides(linked)]
+
+
+def test_pairs_of_a_block_are_not_dealt_out_again(spark, sf_small):
+    plan = optimized(scoring.candidate_pairs(*blocks(spark, sf_small)))
+    above = plan[: plan.index("Join Inner")]
+    assert "Aggregate" not in above and "Join LeftAnti" not in above
+
+
+def test_holders_with_many_entries_meet_the_same_pairs(spark, sf_small, monkeypatch):
+    sides = blocks(spark, sf_small)
+    columns = ["tenant_id", "look", "holder", "rank"]
+    carried = sorted(scoring.candidate_pairs(*sides).select(*columns).collect())
+    monkeypatch.setattr(scoring, "CARRIED_ENTRIES", 5)
+    monkeypatch.setattr(scoring, "BLOCK_PIECE", 1)
+    assert carried and sorted(scoring.candidate_pairs(*sides).select(*columns).collect()) == carried
