@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold import schemas as V
+from kinfold.operators.crowds import count_candidates, holders_in_time
 from kinfold.operators.identity import IDENTIFIER
 from kinfold.operators.order import running_total
 from kinfold.operators.reviews import follow_merges
@@ -37,7 +38,8 @@ class World:
 
     ``identifiers`` are the ones that may match (tenant_id, rank, type, value, record_no, gated);
     ``rules`` and ``sides`` are do-not-merge rules as two sets each (operators/separations.py);
-    ``thresholds`` is (tenant_id, review_threshold).
+    ``thresholds`` is (tenant_id, review_threshold). ``cases`` (tenant_id, record_no, turn, candidates),
+    if kept, stand for that many PENDING reviews of crowded identifiers that ``reviews`` leaves out.
     """
 
     people: DataFrame
@@ -47,6 +49,7 @@ class World:
     sides: DataFrame
     reviews: DataFrame
     thresholds: DataFrame
+    cases: DataFrame | None = None
 
 
 KINDS = ("UNMERGE", "CONFIRM", "REJECT", "LIFT_RULE")
@@ -115,7 +118,7 @@ def _events(rows: DataFrame, kind: Column, guest: Column, absorbed: Column, reco
     )
 
 
-def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFrame]:
+def _unmerge(world: World, asked: DataFrame, as_cases: bool = False) -> tuple[World, DataFrame, DataFrame]:
     checked = cut(check_unmerge(asked, world.links))
     errors = checked.filter("error is not null").select("tenant_id", "decision_id", "error")
     good = checked.filter("error is null")
@@ -139,6 +142,7 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     judged = mine.join(counts, IDENTIFIER).join(world.thresholds, "tenant_id", "left").withColumn(
         "review_threshold", F.coalesce("review_threshold", F.lit(V.DEFAULT_REVIEW_THRESHOLD))
     )
+    judged = cut(judged)
     theirs = detached.select(
         F.col("record_no").alias("earlier"), F.col("turn").alias("their_turn"), F.col("at").alias("their_at"),
         F.col("guest_no").alias("their_guest"),
@@ -152,6 +156,7 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     edges = met.filter("sharing <= review_threshold").select(
         "turn", "record_no", "rank", "type", "value", "gated", "earlier"
     )
+    edges = cut(edges)
     touched = edges.select(F.col("earlier").alias("record_no")).distinct()
     guests = staying.join(touched, "record_no", "left_semi").select("guest_no").distinct()
     near = staying.join(guests, "guest_no", "left_semi")
@@ -197,7 +202,20 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
     )
     moved = outcomes.select("tenant_id", F.explode("absorbed_guests").alias("guest_no"), F.col("guest_no").alias("survivor"))
     reviews = follow_merges(world.reviews, moved, emptied)
-    reviews = cut(reviews.unionByName(_new_reviews(crowded.unionByName(vetoed), reviews)))
+    opened = vetoed if as_cases else crowded.unionByName(vetoed)
+    reviews = cut(reviews.unionByName(_new_reviews(opened, reviews)))
+    cases = world.cases
+    if as_cases:
+        looks = judged.filter("sharing > review_threshold").select(*IDENTIFIER, "record_no", "turn").distinct()
+        crowd = carriers.join(looks.select(*IDENTIFIER).distinct(), IDENTIFIER, "left_semi")
+        own = links.join(detached.select("record_no"), "record_no", "left_semi")
+        pending = reviews.filter("status = 'PENDING'").select("record_no", F.col("candidate").alias("guest_no"))
+        known = (
+            own.select("record_no", "guest_no").unionByName(detached.select("record_no", "guest_no"))
+            .unionByName(admitted.select("record_no", F.col("candidate").alias("guest_no"))).unionByName(pending)
+        )
+        held = cut(holders_in_time(crowd, links, detached, emptied))
+        cases = cut(count_candidates(cut(looks), held, cut(known.distinct())))
     by_matcher = (
         F.when(F.col("kind") == "CREATE", V.CREATE_MATCHER).otherwise(V.DETERMINISTIC_MATCHER)
     )
@@ -216,7 +234,7 @@ def _unmerge(world: World, asked: DataFrame) -> tuple[World, DataFrame, DataFram
             by_matcher, none, F.lit("SYSTEM"), by_matcher,
         )
     )
-    return replace(world, links=links, rules=rules, sides=sides, reviews=reviews), events, errors
+    return replace(world, links=links, rules=rules, sides=sides, reviews=reviews, cases=cases), events, errors
 
 
 def _new_reviews(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -328,7 +346,7 @@ def _lift_rules(world: World, asked: DataFrame) -> tuple[World, DataFrame]:
 
 
 def apply_decisions(
-    world: World, decisions: DataFrame, top: int | None = None
+    world: World, decisions: DataFrame, top: int | None = None, as_cases: bool = False
 ) -> tuple[World, DataFrame, DataFrame]:
     """(world, events, errors) after all decisions, as if taken one by one in order of time.
 
@@ -337,7 +355,9 @@ def apply_decisions(
     touch nothing in common are taken together (``waves.ready``), however many a tenant has. A
     record that founds a guest anew names it by a number drawn from the order of decisions, so
     numbers do not depend on which decisions share a wave. ``top`` is the highest number in use,
-    where the world is only a part of the state.
+    where the world is only a part of the state. With ``as_cases`` the reviews that the last wave
+    opens for crowded identifiers are counted by record in ``World.cases``, not written as pairs;
+    earlier waves write theirs, because later decisions may change them.
     """
     spark = decisions.sparkSession
     checked = cut(check_actor(decisions))
@@ -352,9 +372,11 @@ def apply_decisions(
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while waiting.head(1):
         now = cut(ready(world, waiting))
+        rest = cut(waiting.join(now.select("tenant_id", "decision_id"), ["tenant_id", "decision_id"], "left_anti").coalesce(pieces))
         kinds = {row[0] for row in now.select("kind").distinct().collect()}
         if "UNMERGE" in kinds:
-            world, made, failed = _unmerge(world, now.filter("kind = 'UNMERGE'"))
+            counted = as_cases and kinds == {"UNMERGE"} and not rest.head(1)
+            world, made, failed = _unmerge(world, now.filter("kind = 'UNMERGE'"), counted)
             events, errors = events.unionByName(made), errors.unionByName(failed)
         if kinds & {"CONFIRM", "REJECT"}:
             world, made, failed = _decide(world, now.filter("kind in ('CONFIRM', 'REJECT')"))
@@ -362,5 +384,5 @@ def apply_decisions(
         if "LIFT_RULE" in kinds:
             world, failed = _lift_rules(world, now.filter("kind = 'LIFT_RULE'"))
             errors = errors.unionByName(failed)
-        waiting = cut(waiting.join(now.select("tenant_id", "decision_id"), ["tenant_id", "decision_id"], "left_anti").coalesce(pieces))
+        waiting = rest
     return world, events, errors

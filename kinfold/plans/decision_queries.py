@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinfold.operators.decisions import REVIEW_SCHEMA, World, apply_decisions
 from kinfold.operators.separations import RULE_SCHEMA, SIDE_SCHEMA, rule_pairs
-from kinfold.plans.resolve import PERSON_COLUMNS
 from kinfold.session import cut
 from kinfold.sources.extract import identifier_rows
 
+# What decisions read of a person, beside its identifiers.
+NAME_COLUMNS = ["first_fold", "last_fold", "effective_at", "received_at"]
 START = "timestamp '2026-01-01 00:00:00'"
 DECISION_COLUMNS = {
     "tenant_id": "string", "decision_id": "string", "kind": "string", "guest_no": "long",
@@ -46,7 +47,7 @@ def world_of_links(records: DataFrame, links: DataFrame, reviews: DataFrame | No
             )
         )
     return World(
-        records.select(*PERSON_COLUMNS), cut(identifiers), links, spark.createDataFrame([], RULE_SCHEMA),
+        records.select("tenant_id", *NAME_COLUMNS, "record_no"), cut(identifiers), links, spark.createDataFrame([], RULE_SCHEMA),
         spark.createDataFrame([], SIDE_SCHEMA), empty if reviews is None else cut(reviews),
         spark.createDataFrame([], "tenant_id string, review_threshold int"),
     )
@@ -70,11 +71,14 @@ def unmerge_applied(spark: SparkSession, records: DataFrame, links: DataFrame) -
         F.lit("UNMERGE").alias("kind"), "guest_no", F.array("newest_no").alias("record_nos"),
         (F.expr(START) + F.make_dt_interval(secs=F.col("newest"))).alias("decided_at"),
     )
-    after, events, _ = apply_decisions(world_of_links(records, links), decisions_of(made))
+    after, events, _ = apply_decisions(world_of_links(records, links), decisions_of(made), as_cases=True)
     now = after.links.select(F.col("record_no").alias("newest_no"), F.col("guest_no").alias("own"))
     names = guests_of(after.links, records).select(F.col("guest_no").alias("own"), F.col("first").alias("now_in"), "size")
     apart = after.sides.filter("side = 'B'").groupBy(F.col("set_id").alias("decision_id")).agg(F.count(F.lit(1)).alias("kept_apart"))
-    queued = after.reviews.groupBy(F.col("record_no").alias("newest_no")).agg(F.count(F.lit(1)).alias("reviews"))
+    queued = after.reviews.select("record_no", F.lit(1).cast("long").alias("candidates"))
+    if after.cases is not None:
+        queued = queued.unionByName(after.cases.select("record_no", "candidates"))
+    queued = queued.groupBy(F.col("record_no").alias("newest_no")).agg(F.sum("candidates").alias("reviews"))
     replay = events.filter("kind <> 'UNMERGE'").select(F.col("record_nos")[0].alias("newest_no"), F.col("kind").alias("replayed"))
     return (
         guests.withColumn("decision_id", F.concat(F.lit("u"), F.col("newest").cast("string"))).drop("size")
