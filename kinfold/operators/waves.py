@@ -73,7 +73,21 @@ def ready(world, waiting: DataFrame) -> DataFrame:
     links = world.links.select("tenant_id", "record_no", "guest_no")
     guest = ["tenant_id", "guest_no"]
     first = cut(touches.groupBy(*guest).agg(F.min("at").alias("first")))
-    # Identifiers: of the records taken out, and of the guests touched.
+    waits = [touches.join(first, guest).filter("first < at")]
+    if waiting.filter("kind = 'UNMERGE'").head(1):
+        waits += _same_identifier(world, waiting, touches, first, links)
+    if world.rules.filter("lifted_at is null").head(1):
+        waits.append(_same_rule(world, waiting, touches, links))
+    blocked = waits[0].select(*DECISION)
+    for part in waits[1:]:
+        blocked = blocked.unionByName(part.select(*DECISION))
+    return waiting.join(blocked.distinct(), DECISION, "left_anti")
+
+
+def _same_identifier(world, waiting: DataFrame, touches: DataFrame, first: DataFrame, links: DataFrame) -> list[DataFrame]:
+    """Decisions that wait for an earlier one at an identifier: of the records that unmerges take out, and of
+    the guests touched."""
+    guest = ["tenant_id", "guest_no"]
     ids = world.identifiers.select(*IDENTIFIER, "record_no")
     taken = _named_records(waiting).join(ids, ["tenant_id", "record_no"])
     asked = taken.groupBy(*IDENTIFIER).agg(F.min("at").alias("taken"))
@@ -89,17 +103,11 @@ def ready(world, waiting: DataFrame) -> DataFrame:
     )
     at_guest = carried.groupBy(*guest).agg(F.min("taken").alias("taken"))
     at_identifier = carried.join(first, guest).groupBy(*IDENTIFIER).agg(F.min("first").alias("touched"))
-    waits = [
-        touches.join(first, guest).filter("first < at"),
+    return [
         touches.join(at_guest, guest).filter("taken < at"),
         taken.join(asked.withColumnRenamed("taken", "earliest"), IDENTIFIER).filter("earliest < at"),
         taken.join(at_identifier, IDENTIFIER).filter("touched < at"),
-        _same_rule(world, waiting, touches, links),
     ]
-    blocked = waits[0].select(*DECISION)
-    for part in waits[1:]:
-        blocked = blocked.unionByName(part.select(*DECISION))
-    return waiting.join(blocked.distinct(), DECISION, "left_anti")
 
 
 def _same_rule(world, waiting: DataFrame, touches: DataFrame, links: DataFrame) -> DataFrame:

@@ -216,3 +216,13 @@ def test_equal_to_one_by_one(spark, monkeypatch, seed):
     queue = sorted((r.record_no, r.candidate, r.status) for r in after.reviews.collect())
     assert queue == sorted(map(tuple, replay.reviews.values()))
     assert len(waves) < len(made)
+
+
+def test_reviews_are_decided_without_their_identifiers(spark):
+    """Only an unmerge asks who carries an identifier: without one, a wave reads none of them."""
+    world = world_from(spark, {r: ["e"] for r in range(6)}, {r: r for r in range(6)}, [("r0", 0, 1), ("r1", 2, 1), ("r2", 4, 5)])
+    unread = D.replace(world, identifiers=None)
+    after, events, errors = D.apply_decisions(unread, asked(spark, [("CONFIRM", "r0"), ("REJECT", "r1"), ("CONFIRM", "r2")]))
+    links = {r.record_no: r.guest_no for r in after.links.collect()}
+    assert links == {0: 1, 1: 1, 2: 2, 3: 3, 4: 5, 5: 5}
+    assert events.count() == 3 and errors.count() == 0 and after.rules.count() == 1
