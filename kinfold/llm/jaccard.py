@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinfold.llm.names import unused
 from kinfold.llm.shingles import digest, groups, shingle_sets
 from kinfold.operators.components import connected_components
-from kinfold.session import cut
+from kinfold.session import cut, discard
 
 # Counters of one slice of the frequency table, and bytes of text for which there is one slice: at
 # six bytes a word a counter stands for a sixth of a shingle, however large the corpus.
@@ -375,13 +375,14 @@ def jaccard_components(
     slices = _slices(docs)
     least = -(-num // (den - num)) if den > num else None
     measured = cut(_measure(docs, words, least, slices))
-    rows = measured.filter(F.col("kind") == _DOCUMENT).select("doc_id", "n", "d1", "d2")
+    rows = cut(measured.filter(F.col("kind") == _DOCUMENT).select("doc_id", "n", "d1", "d2"))
     named = rows.filter("n > 0 and doc_id is not null")
     classes = cut(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("head")))
 
     heads = classes.select(F.col("head").alias("doc_id"), "n", "d1", "d2")
     prefixes = _prefixes(measured, words, num, den, slices).join(heads, ["doc_id", "n", "d1", "d2"], "left_semi")
     prefixes = cut(prefixes.dropDuplicates(["doc_id", "n", "d1"]).drop("d2"))
+    discard(measured)  # it holds every text
     member = F.struct("doc_id", "d1")
     prefix = ["size", "places", "tokens", "bits"]
     # The map of a group is that of its set; a group of several sets has none.

@@ -99,3 +99,12 @@ def test_hashes_follow_the_words():
 
 def test_query(spark, sf_small):
     assert same_as_sql(spark, "op4_ngram_jaccard", sf_small) > 0
+
+
+def test_blocks_of_texts_are_deleted_once_used(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr("kinfold.session.shared_folder", lambda _: str(tmp_path))
+    found = J.jaccard_components(docs, words=3, num=90, den=100)
+    left = [spark.read.parquet(str(p)).columns for p in tmp_path.glob("kinfold-*")]
+    assert left and not any("data" in columns for columns in left)
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i % 3) for i in range(9)}

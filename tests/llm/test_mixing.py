@@ -105,3 +105,26 @@ def test_query_comes_from_the_placed_mix(spark, sf_small):
     assert {r.doc_id: r.taken for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows}
     places = [first.get(r.doc_id, 2.0) for r in rows]
     assert places == sorted(places) and places[0] < places[-1]
+
+
+def test_whole_rows_are_shuffled_once_before_the_range_sort(spark):
+    docs = frame(spark, [(i, "x " * i, "ab"[i % 2]) for i in range(20)] + [(30, "n", None)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.assign(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    window = next(n for n, line in enumerate(lines) if "Window [sum(_size" in line)
+    join = next(n for n, line in enumerate(lines) if n > window and "SortMergeJoin" in line)
+    assert not any("Exchange" in line for line in lines[window:join])
+
+
+def test_slices_of_null_and_odd_sources_stay_apart(spark):
+    docs = frame(spark, [(i, "w", s) for i, s in enumerate([None, "", "=", ":", "null"] * 4)])
+    rows = M.assign(docs).collect()
+    assert len(rows) == 20
+    for source in (None, "", "=", ":", "null"):
+        places = sorted(r["_place"] for r in rows if r["source"] == source)
+        assert places == [0.5, 1.5, 2.5, 3.5]
