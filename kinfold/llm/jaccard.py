@@ -140,23 +140,26 @@ def _measure(docs: DataFrame, words: int, least: int | None, slices: int) -> Dat
     return docs.mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, block long, slice long, size int, data binary")
 
 
+def _shortened(counts: np.ndarray) -> np.ndarray:
+    """Numbers beyond 2**15 by their logarithm; all stay in order."""
+    logs = (1024 * (np.log2(np.maximum(counts, 1 << 15)) - 15)).astype(np.uint32)
+    return np.where(counts >= 1 << 15, (1 << 15) + logs, counts)
+
+
 def _answers(measured: DataFrame) -> DataFrame:
     """(block, slice, size, data): for every request how many documents use each counter.
 
-    A slice has a fixed number of counters and gets each block once. Numbers beyond 2**15 are
-    handed on by their logarithm; they stay in order.
+    A slice has a fixed number of counters and gets each block once.
     """
 
     def count(asked: pa.Table) -> pa.Table:
-        counts = np.zeros(1 << SLICE_BITS, np.int64)
+        counts = np.zeros(1 << SLICE_BITS, np.uint32)
         slots = []
         for size, data in zip(asked["size"].to_pylist(), asked["data"], strict=True):
             deltas, times = np.split(_unpack(data.as_py(), 2 * size), 2)
             slots.append(np.cumsum(deltas, dtype=np.int64))
             counts[slots[-1]] += times
-        large = counts >= 1 << 15
-        counts[large] = (1 << 15) + (1024 * (np.log2(counts[large]) - 15)).astype(np.int64)
-        data = pa.array([_pack(counts[s]) for s in slots], pa.binary())
+        data = pa.array([_pack(_shortened(counts[s])) for s in slots], pa.binary())
         return asked.select(["block", "slice", "size"]).append_column("data", data)
 
     requests = measured.filter(F.col("kind") == _REQUEST).select("block", "slice", "size", "data")
