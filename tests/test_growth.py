@@ -32,6 +32,23 @@ def test_pairs_of_a_block_are_not_dealt_out_again(spark, sf_small):
     assert "Aggregate" not in above and "Join LeftAnti" not in above
 
 
+def test_pairs_are_scored_where_they_meet(spark, sf_small):
+    """Rows are sent to their blocks; no pair's texts are sent anywhere to be compared."""
+    looks, holders, members = blocks(spark, sf_small)
+    plan = optimized(scoring.score_pairs(scoring.candidate_pairs(looks, holders, members), looks, holders))
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_signals_are_those_of_the_facts(spark, sf_small):
+    """Pairs without their signals get the same scores from the facts of both sides."""
+    looks, holders, members = blocks(spark, sf_small)
+    pairs = cut(scoring.candidate_pairs(looks, holders, members))
+    bare = pairs.select("tenant_id", "look", "holder", "rank")
+    scored = sorted(scoring.score_pairs(pairs, looks, holders).collect(), key=str)
+    assert scored and sorted(scoring.score_pairs(bare, looks, holders).collect(), key=str) == scored
+
+
 def test_holders_with_many_entries_meet_the_same_pairs(spark, sf_small, monkeypatch):
     sides = blocks(spark, sf_small)
     columns = ["tenant_id", "look", "holder", "rank"]
